@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from emberflow.llm import decontaminate, exact_dedup, line_dedup, token_counts
+from emberflow.llm import decontaminate, exact_dedup, line_dedup, ngram_join, token_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (exact_dedup, token_counts, decontaminate, line_dedup):
+for _m in (exact_dedup, token_counts, decontaminate, line_dedup, ngram_join):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
