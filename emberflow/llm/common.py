@@ -5,9 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -70,3 +74,43 @@ def fresh(names: list[str], *wanted: str) -> list[str]:
         taken.add(w.lower())
         out.append(w)
     return out
+
+
+def grouped(df: DataFrame, by: list[str], schema: T.StructType | str, work: Callable[[pa.Table], pa.RecordBatch | None]) -> DataFrame:
+    """``work`` for each group of ``by``; the groups stream through sorted partitions, one in memory at a time."""
+    placed = df.repartition(*by).sortWithinPartitions(*by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        done: list[pa.RecordBatch] = []
+        last = None
+
+        def finish() -> None:
+            if held and (out := work(pa.Table.from_batches(held))) is not None:
+                done.append(out)
+
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            keys = [b.column(c).to_numpy(zero_copy_only=False) for c in by]
+            new = np.zeros(b.num_rows, bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            new[0] = last is not None and tuple(k[0] for k in keys) != last
+            last = tuple(k[-1] for k in keys)
+            at = 0
+            for s in [*np.flatnonzero(new).tolist(), b.num_rows]:
+                if s > at:
+                    held.append(b.slice(at, s - at))
+                if s < b.num_rows:
+                    finish()
+                    held = []
+                    if len(done) >= 500:
+                        yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+                        done = []
+                at = s
+        finish()
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+
+    return placed.mapInArrow(run, schema)
