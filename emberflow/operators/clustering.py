@@ -41,7 +41,7 @@ def scaled(points: DataFrame, km: float, hours: float | None = None) -> DataFram
     out = points.crossJoin(F.broadcast(origin))  # one row
     out = out.withColumns({"x": geo.plane_x_km(F.col("longitude"), F.col("lon0"), F.col("lat0")) / km, "y": geo.plane_y_km(F.col("latitude"), F.col("lat0")) / km})
     if hours:
-        out = out.withColumn("t", F.timestamp_diff("SECOND", F.col("t0"), F.col("acquired_at")) / (3600.0 * hours))
+        out = out.withColumn("t", F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("acquired_at")) / (3.6e9 * hours))
     return out.drop("lat0", "lon0", "t0")
 
 
@@ -107,7 +107,7 @@ def episode_starts(times: Column, span_hours: float) -> Column:
     first = F.struct(F.lit(0).alias("n"), F.lit(None).cast("timestamp_ntz").alias("start"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        new = s["start"].isNotNull() & (F.timestamp_diff("SECOND", s["start"], x["t"]) > span_hours * 3600)
+        new = s["start"].isNotNull() & (F.timestamp_diff("MICROSECOND", s["start"], x["t"]) > int(span_hours * 3_600_000_000))
         n = F.when(new, s["n"] + 1).otherwise(s["n"]).cast("int")
         return F.struct(n.alias("n"), F.when(new | s["start"].isNull(), x["t"]).otherwise(s["start"]).alias("start"), F.concat(s["out"], F.array(n)).alias("out"))
 

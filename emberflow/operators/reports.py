@@ -70,7 +70,7 @@ def summary(events: DataFrame) -> DataFrame:
 def freshness(detections: DataFrame, as_of: str, hours: float = 24) -> DataFrame:
     """The latest detection and near-real-time detection, and whether the latter is fresh."""
     live = F.max(F.when(F.col("data_quality") == "near_real_time", F.col("acquired_at")))
-    age = F.timestamp_diff("SECOND", F.col("latest_live"), F.lit(as_of).cast("timestamp_ntz")) / 3600.0
+    age = F.timestamp_diff("MICROSECOND", F.col("latest_live"), F.lit(as_of).cast("timestamp_ntz")) / 3.6e9
     out = detections.agg(F.max("acquired_at").alias("latest"), live.alias("latest_live"), F.count_if(F.col("data_quality") == "near_real_time").alias("live_rows"))
     return out.withColumns({"age_hours": age, "status": F.when(age <= hours, "fresh").otherwise("stale")})
 
