@@ -25,6 +25,8 @@ def repeated_runs(df: DataFrame, text: str = "text", key: str = "doc_id", min_wo
     base = df.select(F.xxhash64(key, text).alias("k"), F.col(key).alias("id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
     words = F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
     lines = base.select("k", "id", "pos", F.xxhash64(F.trim("line")).alias("h"), words.alias("w")).where("w > 0")
+    # rows that repeat a key and a text are one document: its lines count once
+    lines = lines.repartition("k", "id").withColumn("copy", F.row_number().over(Window.partitionBy("k", "id", "pos").orderBy("h"))).where("copy = 1").drop("copy")
     by_pos = Window.partitionBy("k", "id").orderBy("pos")
     placed = lines.withColumn("s", F.sum("w").over(by_pos) - F.col("w"))
     ahead = Window.partitionBy("k", "id").orderBy("s").rangeBetween(0, min_words - 1)

@@ -25,10 +25,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines are deleted, n_chars follows; documents of which nothing but white space is left go."""
-    cut = line_dedup(docs)
-    gone = (F.col("n_deleted") > 0) & (F.trim(F.col("text")) == "")
-    n_chars = F.when(F.col("n_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.where(~gone).select(*(n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    cut = line_dedup(_boxed(docs).select("row", "text", "doc_id"))
+    changed = F.col("n_deleted") > 0
+    n_chars = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return cut.where(~(changed & (F.trim(F.col("text")) == ""))).select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
