@@ -36,7 +36,7 @@ _PRI = "case sensor when 'VIIRS_SNPP' then 0 when 'VIIRS_NOAA20' then 1 when 'VI
 _PTS = """pts as (select event_id as k, (longitude-lon0)*111.32e0*cos(radians(lat0))/2.0e0 as x, (latitude-lat0)*110.57e0/2.0e0 as y, epoch(acquired_at - t0)/86400.0e0 as t
  from detections, (select avg(latitude) as lat0, avg(longitude) as lon0, min(acquired_at) as t0 from detections) o)"""
 _PAIRS = "pairs as (select a.k as a, b.k as b from pts a join pts b on a.k < b.k and abs(a.t-b.t) <= 1 and power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.t-b.t,2) <= 1)"
-_REACH = """reach as (with recursive both as (select a, b from pairs union all select b, a from pairs), r as (select k, k as root from pts union select e.b, r.root from r join both e on e.a = r.k where r.root < e.b) select * from r)"""
+_REACH = """reach as (with recursive ways as (select a, b from pairs union all select b, a from pairs), r as (select k, k as root from pts union select e.b, r.root from r join ways e on e.a = r.k where r.root < e.b) select * from r)"""
 _HIST = """h as (select c.event_id, c.start_time, p.* exclude (event_id, start_time, end_time), p.start_time as hs, p.end_time as he,
  least(abs(dayofyear(p.start_time)-dayofyear(c.start_time)), 366-abs(dayofyear(p.start_time)-dayofyear(c.start_time))) <= 45 as season
  from episodes c join episodes p on c.site_id=p.site_id and c.model_sensor=p.model_sensor and c.model_daynight=p.model_daynight
@@ -167,6 +167,13 @@ SQL: dict[str, str] = {
  select o.event_id, o.user_id, o.t, o.n, case when epoch(o.t-r.st) > 86400 then o.t else r.st end, r.episode + (epoch(o.t-r.st) > 86400)::int from r join o on o.user_id=r.user_id and o.n=r.n+1) select * from r)"""),
     "eps_neighbors": _w("detections", "select a, b from pairs", _PTS, _PAIRS),
     "components": _w("detections", "select k as event_id, min(root) as component from reach group by k", _PTS, _PAIRS, _REACH),
+    "cluster_events": _w("detections", f"""select q.event_id, start_time, end_time, detection_count, m.sensor as model_sensor, m.phase as model_daynight, round(m.peak,6) as frp_peak_mw, round(w.far,6) as spread_km
+ from (select cluster, 'E' || substr(sha1(string_agg(detection_id, '|' order by detection_id)),1,16) as event_id, min(acquired_at) as start_time, max(acquired_at) as end_time, count(*) as detection_count from c group by 1) q
+ join (select s.cluster, r.sensor, r.phase, max(fs) as peak from s join (select distinct on (cluster) cluster, sensor, phase from s order by cluster, phase='unknown', {_PRI}, case phase when 'N' then 0 else 1 end) r on s.cluster=r.cluster and s.sensor=r.sensor and s.phase=r.phase group by 1,2,3) m using (cluster)
+ join (select cluster, max({_hav('latitude', 'longitude', 'cla', 'clo')}) as far from c join (select cluster, avg(latitude) as cla, avg(longitude) as clo from c group by 1) z using (cluster) group by 1) w using (cluster)""",
+     _PTS, _PAIRS, _REACH, "cl as (select k, min(root) as comp from reach group by k)", "o as (select d.*, comp, row_number() over (partition by comp order by acquired_at, d.event_id) as n from detections d join cl on d.event_id=cl.k)",
+     "walk as (with recursive r as (select event_id, comp, n, acquired_at as st, 0 as episode from o where n=1 union all select o.event_id, o.comp, o.n, case when o.acquired_at-r.st > interval 24 hours then o.acquired_at else r.st end, r.episode + (o.acquired_at-r.st > interval 24 hours)::int from r join o on o.comp=r.comp and o.n=r.n+1) select * from r)",
+     "c as (select d.*, w.comp || ':' || w.episode as cluster, d.daynight as phase from detections d join walk w using (event_id))", _SNAP),
     "nearest_facility_point": _nearest(False),
     "nearest_facility_polygon": _nearest(True),
     "landcover_fractions": _w("detections landcover", """select p.event_id, d.name as worldcover_dominant, coalesce(round(least(a.n/13.0,1),6),0) as worldcover_coverage, round(a.veg,6) as vegetation_fraction, round(a.built,6) as built_fraction, round(a.bare,6) as bare_fraction from p
