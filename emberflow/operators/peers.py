@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberflow.config import Area, Peers
 from emberflow.functions import geo, stats, text, time
+from emberflow.operators.clustering import checkpointed
 
 FEATURES = ("frp_peak_mw", "brightness_temperature_difference_max", "detection_peak")
 # Classes, platforms and phases that take part.
@@ -74,6 +75,7 @@ def score_peers(events: DataFrame, p: Peers, area: Area) -> DataFrame:
     v = [f"v_{f}" for f in FEATURES]
     if "site_anomaly_score" not in events.columns:
         events = events.withColumn("site_anomaly_score", F.col("anomaly_score"))
+    events = checkpointed(events)  # targets, references and the result all come from it
     rows = judged(events, p, area)
     found = diversity(references(rows, p))
     out = rows.join(found, rows.event_id == found.target_id, "left").drop("target_id")
