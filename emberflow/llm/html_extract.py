@@ -1,18 +1,20 @@
 """Main-text extraction by wrapper induction.
 
-Each host has two reference pages, those with the smallest and the largest hash of their identifier. A page's
-DOM tree is aligned with a reference tree by simple tree matching: two nodes match if their tags do, and the
-matching of their children in order is a maximum. Runs of same-tag leaves (paragraphs, list items) are matched
-as one list. Blocks whose text is that of the block they are aligned with are the template of the host; blocks
-that differ are slots. The content slot is the article or main element that holds the most text, or without
-one the smallest subtree that holds all slots. Parts that name themselves as menus, adverts, comments and the
-like are never content.
+Each host has a reference page, the one with the smallest hash of its identifier. A page's DOM tree is aligned
+with the reference's by simple tree matching: two nodes match if their tags do, and the matching of their
+children in order is a maximum. Runs of same-tag leaves (paragraphs, list items) are matched as one list. Over
+all pages of a host, texts are counted by the node they are aligned with: blocks that stand on a fifth of its
+different contents or more, and on two at least, are the template of the host; other blocks are slots. The
+content slot is the article or main element that holds the most text, or without one all slots. Parts that
+name themselves as menus, adverts, comments and the like are never content.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import fresh, table
+from emberflow.llm.common import fresh, materialise, table
 from emberflow.llm.language_id import host_of
 from emberflow.llm.textkit import slices
 
@@ -28,6 +30,10 @@ from emberflow.llm.textkit import slices
 BROADCAST_BYTES, SALTS = 48 << 20, 16
 #: Parsed references that a worker remembers.
 REMEMBERED = 256
+#: A block is template if it is on so large a share of the host's different contents, and on two at least.
+SHARE = 0.2
+#: On hosts of fewer pages, what is on most of them says nothing.
+FEW = 4
 
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -186,16 +192,17 @@ def _groups(node: Node) -> list[tuple[str, list[Node]]]:
 
 def match(a: Node, b: Node, pairs: dict[int, Node] | None = None, memo: dict | None = None) -> int:
     """The size of the maximum matching of two trees with equal root tags; ``pairs`` gets the partner in ``b`` of each
-    matched node of ``a`` by id()."""
+    matched node of ``a`` by id(). Trees may be of any depth."""
     memo = {} if memo is None else memo
+    grouped: dict[int, list] = {}
     todo = [(a, b)]
-    total = _weigh(a, b, memo)
+    total = _weigh(a, b, memo, grouped)
     if pairs is None:
         return total
     while todo:
         x, y = todo.pop()
         pairs[id(x)] = y
-        gx, gy = _groups(x), _groups(y)
+        gx, gy = grouped[id(x)], grouped[id(y)]
         m = _grid(gx, gy, memo)
         i, j = len(gx), len(gy)
         while i and j:
@@ -213,11 +220,25 @@ def match(a: Node, b: Node, pairs: dict[int, Node] | None = None, memo: dict | N
     return total
 
 
-def _weigh(a: Node, b: Node, memo: dict) -> int:
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + _grid(_groups(a), _groups(b), memo)[-1][-1]
-    return memo[key]
+def _weigh(a: Node, b: Node, memo: dict, grouped: dict[int, list]) -> int:
+    """The size of the maximum matching; ``memo`` gets those of all pairs of nodes that it needs, children first."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        if (id(x), id(y)) in memo:
+            todo.pop()
+            continue
+        for n in (x, y):
+            if id(n) not in grouped:
+                grouped[id(n)] = _groups(n)
+        gx, gy = grouped[id(x)], grouped[id(y)]
+        open_ = [(p[0], q[0]) for s, p in gx if s[-1] != "*" for t, q in gy if s == t and (id(p[0]), id(q[0])) not in memo]
+        if open_:
+            todo.extend(open_)
+        else:
+            memo[(id(x), id(y))] = 1 + _grid(gx, gy, memo)[-1][-1]
+            todo.pop()
+    return memo[(id(a), id(b))]
 
 
 def _grid(gx: list, gy: list, memo: dict) -> list[list[int]]:
@@ -227,7 +248,7 @@ def _grid(gx: list, gy: list, memo: dict) -> list[list[int]]:
         for j, (ty, ny) in enumerate(gy):
             best = row[j] if row[j] > above[j + 1] else above[j + 1]
             if tx == ty:
-                w = above[j] + (min(len(nx), len(ny)) if tx.endswith("*") else _weigh(nx[0], ny[0], memo))
+                w = above[j] + (min(len(nx), len(ny)) if tx.endswith("*") else memo[(id(nx[0]), id(ny[0]))])
                 if w > best:
                     best = w
             row[j + 1] = best
@@ -242,45 +263,47 @@ def _under(node: Node, top: Node) -> bool:
     return False
 
 
-def _flat_depth(root: Node) -> int:
-    deepest, todo = 0, [(root, 1)]
-    while todo:
-        n, d = todo.pop()
-        deepest = max(deepest, d)
-        todo.extend((c, d + 1) for c in n.children if isinstance(c, Node))
-    return deepest
-
-
 class Reference:
-    """A parsed reference page: its tree, and its blocks' texts by node."""
+    """A parsed reference page: its tree, and the numbers of its nodes in page order."""
 
     def __init__(self, html: str):
-        self.html, self.root = html, parse(html)
-        self.deep = _flat_depth(self.root) > 400
-        self.texts: dict[int, list[str]] = {}
-        for b in blocks(self.root):
-            self.texts.setdefault(id(b.node), []).append(b.text)
+        self.root = parse(html)
+        self.number: dict[int, int] = {}
+        todo = [self.root]
+        while todo:
+            n = todo.pop()
+            self.number[id(n)] = len(self.number)
+            todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
+
+
+def aligned(root: Node, found: list[Block_], ref: Reference) -> list[int]:
+    """For each block a digest of its place and text. Its place is the reference's node that its node is aligned with,
+    or, where there is none and in runs of same-tag leaves, its tag below the place of its parent."""
+    pairs: dict[int, Node] = {}
+    match(root, ref.root, pairs)
+    place = {id(root): "0"}
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        for tag, group in _groups(n):
+            below = f"{zlib.crc32(f'{place[id(n)]}/{tag}'.encode()):x}"
+            for c in group:
+                place[id(c)] = str(ref.number[id(pairs[id(c)])]) if tag[-1] != "*" and id(c) in pairs else below
+            todo.extend(group)
+    return [int.from_bytes(blake2b(f"{place[id(b.node)]} {b.text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for b in found]
 
 
-def extract(html: str | None, references: list[Reference] = ()) -> str:
-    """The main text of a page; without a reference that differs from it, every block is a slot."""
+def extract(html: str | None, ref: Reference | None = None, template: frozenset[int] | None = None) -> str:
+    """The main text of a page; without ``template``, the digests of the host's constant blocks, every block is a slot."""
     root = parse(html or "")
     found = blocks(root)
-    if not found:
-        return ""
     constant: set[int] = set()
-    for ref in references:
-        if ref.html == html:
-            continue
-        if not ref.deep and _flat_depth(root) <= 400:  # the matching recurses
-            pairs: dict[int, Node] = {}
-            match(root, ref.root, pairs)
-            constant |= {i for i, b in enumerate(found) if id(b.node) in pairs and b.text in ref.texts.get(id(pairs[id(b.node)]), ())}
+    if template and found:
+        constant = {id(b) for b, d in zip(found, aligned(root, found, ref), strict=True) if d in template}
     slot = _named_slot(root, found)
     if slot is not None:
         return "\n".join(b.text for b in found if _under(b.node, slot))
-    slots = [b for i, b in enumerate(found) if i not in constant] or found
-    return "\n".join(b.text for b in slots)
+    return "\n".join(b.text for b in found if id(b) not in constant)
 
 
 def _named_slot(root: Node, found: list[Block_]) -> Node | None:
@@ -304,6 +327,60 @@ def _named_slot(root: Node, found: list[Block_]) -> Node | None:
     return None
 
 
+def _meet(rows: DataFrame, facts: DataFrame, host: str, salt_by: str, broadcast: bool) -> DataFrame:
+    """``rows`` with their host's row of ``facts``, whose column is ``host`` too; large hosts spread over tasks."""
+    facts = facts.withColumnRenamed(host, f"{host}_h")
+    if broadcast:
+        return rows.join(F.broadcast(facts), F.col(host) == F.col(f"{host}_h"), "left").drop(f"{host}_h")
+    spread = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__own", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, (F.col(host) == F.col(f"{host}_h")) & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt", f"{host}_h")
+
+
+def templates(pages: DataFrame, body: str, h: str, ref: str, broadcast: bool) -> DataFrame:
+    """(``h``, template): the digests of blocks that are constant over the host's pages; ``pages`` has the columns ``body``,
+    ``h`` and ``ref``. Hosts without two pages of different content have no row.
+
+    Near copies of one page are no support for what they share: pages count once for each longest block that isn't
+    on most of the host's pages (on a host of fewer than ``FEW`` pages, for each longest block).
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed: dict[str, Reference] = {}
+        for whole in batches:
+            for b in slices(whole, body):
+                keys, sizes = [], []
+                for page, host, x in zip(b.column(body).to_pylist(), b.column(h).to_pylist(), b.column(ref), strict=True):
+                    root = parse(page)
+                    found = blocks(root)
+                    own = {d: len(y.text) for d, y in zip(aligned(root, found, _remembered(parsed, host, x)), found, strict=True)} if found else {}
+                    keys.append(list(own))
+                    sizes.append(list(own.values()))
+                yield pa.RecordBatch.from_arrays([b.column(h), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], ["h", "keys", "sizes"])
+
+    seen = pages.mapInArrow(work, "h string, keys array<bigint>, sizes array<bigint>").where("size(keys) > 0")
+    seen = seen.withColumn("page", F.xxhash64(F.array_sort("keys"))).dropDuplicates(["h", "page"])
+    seen = materialise(seen, "html-blocks")
+    each = seen.select("h", F.explode("keys").alias("key")).groupBy("h", "key").agg(F.count("*").alias("n"))
+    n_pages = seen.groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= 2)
+    most = each.where("n >= 2").join(n_pages.where(F.col("pages") >= FEW), "h").where("2 * n > pages").groupBy("h").agg(F.collect_list("key").alias("most"))
+    with_most = _meet(seen, most, "h", "page", broadcast)
+    sized = F.filter(F.arrays_zip("sizes", "keys"), lambda x: F.col("most").isNull() | ~F.array_contains("most", x["keys"]))
+    told = with_most.select("h", "keys", F.coalesce(F.array_max(sized)["keys"], F.lit(0)).alias("content"))
+    support = told.select("h", "content", F.explode("keys").alias("key")).distinct().groupBy("h", "key").agg(F.count("*").alias("n")).where("n >= 2")
+    contents = told.select("h", "content").distinct().groupBy("h").agg(F.count("*").alias("contents")).where("contents >= 2")
+    constant = F.collect_list(F.when(F.col("n") >= SHARE * F.col("contents"), F.col("key")))
+    return contents.join(support, "h", "left").groupBy("h").agg(constant.alias("template")).withColumnRenamed("h", h)
+
+
+def _remembered(parsed: dict[str, Reference], host: str, html: pa.Scalar) -> Reference:
+    if host not in parsed:
+        if len(parsed) >= REMEMBERED:
+            parsed.pop(next(iter(parsed)))
+        parsed[host] = Reference(html.as_py() or "")
+    return parsed[host]
+
+
 def html_extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", carry: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each row's ``carry`` columns (default ``key`` and ``url``) and its text and n_chars.
 
@@ -313,32 +390,30 @@ def html_extract(df: DataFrame, html: str = "html", url: str = "url", key: str =
     Repeated rows are treated alike; an empty table stays empty.
     """
     carry = carry or [key, url]
-    body, h, one, two = fresh(carry, "body", "host", "one", "two")
+    body, h, one, template = fresh(carry, "body", "host", "one", "template")
     pages = df.select(*carry, F.coalesce(F.col(html), F.lit("")).alias(body), host_of(F.col(url)).alias(h), F.xxhash64(key, url).alias("__order"))
-    refs = pages.groupBy(h).agg(F.min_by(body, F.struct("__order", body)).alias(one), F.max_by(body, F.struct("__order", body)).alias(two)).withColumnRenamed(h, f"{h}_h")
+    refs = pages.where(F.col(body) != "").groupBy(h).agg(F.min_by(body, F.struct("__order", body)).alias(one))
     size = df.select(host_of(F.col(url)).alias("h"), F.octet_length(html).alias("n")).groupBy("h").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+    small = 2 * size <= broadcast_bytes
+    refs = materialise(refs, "html-references")
     pages = pages.drop("__order")
-    if 2 * size <= broadcast_bytes:
-        met = pages.join(F.broadcast(refs), pages[h] == refs[f"{h}_h"], "left")
-    else:
-        spread = refs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = pages.withColumn("__own", F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int"))
-        met = salted.join(spread, (salted[h] == spread[f"{h}_h"]) & (salted["__own"] == spread["__salt"]), "left")
-    met = met.select(*carry, body, h, one, two)
+    facts = refs.join(templates(_meet(pages.select(body, h), refs, h, body, small), body, h, one, small), h, "left")
+    met = _meet(pages, facts, h, body, small).select(*carry, body, h, one, template)
     more = T._parse_datatype_string("text string, n_chars bigint")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str, list[Reference]] = {}
+        parsed: dict[str, Reference] = {}
+        known: dict[str, frozenset[int] | None] = {}
         for whole in batches:
             for b in slices(whole, body):
                 texts = []
-                refs_of = zip(b.column(h).to_pylist(), b.column(one), b.column(two), strict=True)
-                for page, (host, x, y) in zip(b.column(body).to_pylist(), refs_of, strict=True):
-                    if host not in parsed:
-                        if len(parsed) >= REMEMBERED:
-                            parsed.pop(next(iter(parsed)))
-                        parsed[host] = [Reference(r) for r in dict.fromkeys([x.as_py() or "", y.as_py() or ""])]
-                    texts.append(extract(page, parsed[host]))
+                for page, host, x, y in zip(b.column(body).to_pylist(), b.column(h).to_pylist(), b.column(one), b.column(template), strict=True):
+                    ref = _remembered(parsed, host, x)
+                    if host not in known:
+                        if len(known) >= REMEMBERED:
+                            known.pop(next(iter(known)))
+                        known[host] = frozenset(y.as_py()) if y.is_valid else None
+                    texts.append(extract(page, ref, known[host]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*carry, "text", "n_chars"])
 
     return met.mapInArrow(work, T.StructType([*pages.select(*carry).schema.fields, *more.fields]))

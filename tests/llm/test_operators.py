@@ -469,3 +469,23 @@ def test_queries_are_registered():
     assert [sum(q.startswith(f"op{n}_") for q in found) for n in range(1, 11)] == [1] * 10 and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)
     assert json.dumps(sorted(found))
+
+
+def pages_of(spark, bodies):
+    rows = [(i, f"http://{host}/{i}", f"<body>{body}</body>") for i, (host, body) in enumerate(bodies)]
+    return html_extract.html_extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()
+
+
+def test_html_near_copies_support_no_template(spark):
+    """What near copies share stays; the host's own lines go; trees of any depth are aligned."""
+    story = "".join(f"<p>A long sentence number {k} of the story that was printed several times.</p>" for k in range(4))
+    text = re.findall("<p>(.*?)</p>", story)
+    page = "<div>Menu</div><div><p>Day {}</p>{}</div><div>Imprint</div>"
+    bodies = [("copy.example", page.format(i, story)) for i in range(4)] + [("copy.example", page.format(i, f"<p>Own words {i} of another page, number {i * 7}.</p>")) for i in range(4, 12)]
+    bodies += [("two.example", page.format(i, story)) for i in range(2)]
+    bodies += [("deep.example", "<div>" * 900 + f"<p>Menu</p></div><div><p>Deep story {i}</p>") for i in range(4)]
+    got = [r.text for r in pages_of(spark, bodies)]
+    assert got[:4] == ["\n".join([f"Day {i}", *text]) for i in range(4)]
+    assert got[4:12] == [f"Day {i}\nOwn words {i} of another page, number {i * 7}." for i in range(4, 12)]
+    assert all(set(text) <= set(got[i].split("\n")) for i in (12, 13))
+    assert got[14:] == [f"Deep story {i}" for i in range(4)]
