@@ -4,9 +4,10 @@ Each host has a reference page, the one with the smallest hash of its identifier
 with the reference's by simple tree matching: two nodes match if their tags do, and the matching of their
 children in order is a maximum. Runs of same-tag leaves (paragraphs, list items) are matched as one list. Over
 all pages of a host, texts are counted by the node they are aligned with: blocks that stand on a fifth of its
-different contents or more, and on two at least, are the template of the host; other blocks are slots. The
-content slot is the article or main element that holds the most text, or without one all slots. Parts that
-name themselves as menus, adverts, comments and the like are never content.
+different contents or more, and on two at least, are the template of the host; other blocks are slots, and slots
+are the content. A check follows: where the largest article or main element holds half of the slots' text or
+more, slots outside it are dropped, and if all of that element's text is template, it is kept. Parts that name themselves as menus, adverts, comments and the like are never
+content.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ REMEMBERED = 256
 SHARE = 0.2
 #: On hosts of fewer pages, what is on most of them says nothing.
 FEW = 4
+#: Hosts whose pages differ in less than this share of their text have no template: they may be copies of one page.
+ALIKE = 0.05
 
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -300,10 +303,19 @@ def extract(html: str | None, ref: Reference | None = None, template: frozenset[
     constant: set[int] = set()
     if template and found:
         constant = {id(b) for b, d in zip(found, aligned(root, found, ref), strict=True) if d in template}
-    slot = _named_slot(root, found)
-    if slot is not None:
-        return "\n".join(b.text for b in found if _under(b.node, slot))
-    return "\n".join(b.text for b in found if id(b) not in constant)
+    slots = [b for b in found if id(b) not in constant]
+    named = _named_slot(root, found)
+    if named is None:
+        return "\n".join(b.text for b in slots)
+    inside = [b for b in found if _under(b.node, named)]
+    own = [b for b in inside if id(b) not in constant]
+    if template is not None and 2 * _chars(own) < _chars(slots):
+        own = slots  # most of what varies is elsewhere
+    return "\n".join(b.text for b in own or inside)
+
+
+def _chars(found: list[Block_]) -> int:
+    return sum(len(b.text) for b in found)
 
 
 def _named_slot(root: Node, found: list[Block_]) -> Node | None:
@@ -339,7 +351,7 @@ def _meet(rows: DataFrame, facts: DataFrame, host: str, salt_by: str, broadcast:
 
 def templates(pages: DataFrame, body: str, h: str, ref: str, broadcast: bool) -> DataFrame:
     """(``h``, template): the digests of blocks that are constant over the host's pages; ``pages`` has the columns ``body``,
-    ``h`` and ``ref``. Hosts without two pages of different content have no row.
+    ``h`` and ``ref``. Hosts without two pages of different content, or whose pages hardly differ, have no row.
 
     Near copies of one page are no support for what they share: pages count once for each longest block that isn't
     on most of the host's pages (on a host of fewer than ``FEW`` pages, for each longest block).
@@ -366,9 +378,11 @@ def templates(pages: DataFrame, body: str, h: str, ref: str, broadcast: bool) ->
     most = each.where("n >= 2").join(n_pages.where(F.col("pages") >= FEW), "h").where("2 * n > pages").groupBy("h").agg(F.collect_list("key").alias("most"))
     with_most = _meet(seen, most, "h", "page", broadcast)
     sized = F.filter(F.arrays_zip("sizes", "keys"), lambda x: F.col("most").isNull() | ~F.array_contains("most", x["keys"]))
-    told = with_most.select("h", "keys", F.coalesce(F.array_max(sized)["keys"], F.lit(0)).alias("content"))
+    chars = lambda sizes: F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, n: a + n)
+    told = with_most.select("h", "keys", F.coalesce(F.array_max(sized)["keys"], F.lit(0)).alias("content"), chars(sized["sizes"]).alias("own"), chars("sizes").alias("all"))
     support = told.select("h", "content", F.explode("keys").alias("key")).distinct().groupBy("h", "key").agg(F.count("*").alias("n")).where("n >= 2")
-    contents = told.select("h", "content").distinct().groupBy("h").agg(F.count("*").alias("contents")).where("contents >= 2")
+    differing = told.groupBy("h", "content").agg(F.sum("own").alias("own"), F.sum("all").alias("all")).groupBy("h").agg(F.count("*").alias("contents"), F.sum("own").alias("own"), F.sum("all").alias("all"))
+    contents = differing.where((F.col("contents") >= 2) & (F.col("own") >= ALIKE * F.col("all"))).select("h", "contents")
     constant = F.collect_list(F.when(F.col("n") >= SHARE * F.col("contents"), F.col("key")))
     return contents.join(support, "h", "left").groupBy("h").agg(constant.alias("template")).withColumnRenamed("h", h)
 

@@ -489,3 +489,16 @@ def test_html_near_copies_support_no_template(spark):
     assert got[4:12] == [f"Day {i}\nOwn words {i} of another page, number {i * 7}." for i in range(4, 12)]
     assert all(set(text) <= set(got[i].split("\n")) for i in (12, 13))
     assert got[14:] == [f"Deep story {i}" for i in range(4)]
+
+
+def test_html_alignment_decides_within_and_beside_articles(spark):
+    share = "<p>Tell your friends about us today</p>"
+    bodies = [("line.example", f"<div>Menu</div><article><h1>Title {i}</h1>{''.join(f'<p>Words {i} {k} of it</p>' for k in range(1 + i % 3))}{share}</article><div>Now {i}</div>") for i in range(8)]
+    bodies += [("beside.example", f"<div>Menu</div><article><p>Teaser {i}</p></article><div><p>The long report number {i} stands beside the teaser</p></div>") for i in range(6)]
+    bodies += [("alike.example", f"<article><p>{i}</p><p>{'The same long sentence on all of the pages here. ' * 3}</p></article><p>Day {i}</p>") for i in range(6)]
+    bodies += [("alone.example", "<div>Menu and a few words more than the article has</div><article><p>Short</p></article>")]
+    got = [r.text for r in pages_of(spark, bodies)]
+    assert got[:8] == ["\n".join([f"Title {i}", *(f"Words {i} {k} of it" for k in range(1 + i % 3))]) for i in range(8)]
+    assert got[8:14] == [f"Teaser {i}\nThe long report number {i} stands beside the teaser" for i in range(6)]
+    assert got[14:20] == [f"{i}\n{'The same long sentence on all of the pages here. ' * 3}".strip() for i in range(6)]
+    assert got[20] == "Short"
