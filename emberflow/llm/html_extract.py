@@ -4,10 +4,11 @@ Each host has a reference page, the one with the smallest hash of its identifier
 with the reference's by simple tree matching: two nodes match if their tags do, and the matching of their
 children in order is a maximum. Runs of same-tag leaves (paragraphs, list items) are matched as one list. Over
 all pages of a host, texts are counted by the node they are aligned with: blocks that stand on a fifth of its
-different contents or more, and on two at least, are the template of the host; other blocks are slots, and slots
+different contents or more, and on five at least or on all, are the template of the host; other blocks are slots, and slots
 are the content. A check follows: where the largest article or main element holds half of the slots' text or
-more, slots outside it are dropped, and if all of that element's text is template, it is kept. Parts that name themselves as menus, adverts, comments and the like are never
-content.
+more, slots outside it are dropped, and if all of that element's text is template, it is kept. Elements made for
+other uses (nav, form, ...) are never content. Parts whose class or identifier is, as a whole, a name of menus,
+adverts, comments and the like aren't either, unless they wrap the article, the main element or the slots.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from emberflow.llm.textkit import slices
 BROADCAST_BYTES, SALTS = 48 << 20, 16
 #: Parsed references that a worker remembers.
 REMEMBERED = 256
-#: A block is template if it is on so large a share of the host's different contents, and on two at least.
-SHARE = 0.2
+#: A block is template if it is on so large a share of the host's different contents, and on so many at least (or on all).
+SHARE, LEAST = 0.2, 5
 #: On hosts of fewer pages, what is on most of them says nothing.
 FEW = 4
 #: Hosts whose pages differ in less than this share of their text have no template: they may be copies of one page.
@@ -51,6 +52,10 @@ NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dial
 NEVER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond replies disqus pagination pager toolbar skip".split()
 )
+#: With these, and no other words, a name of the words above is a known compound (site-header, share-buttons).
+BESIDE = frozenset("site global top bottom left right main primary secondary box container wrapper wrap inner outer list item items links link block blocks bar buttons button icons icon area section form posts slot unit text message google fixed sticky".split())
+#: A named part that holds so large a share of the slots' text, on a page without article or main element, wraps the content.
+WRAPS = 0.9
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -58,32 +63,43 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "never", "children", "parent")
+    __slots__ = ("tag", "never", "named", "children", "parent")
 
-    def __init__(self, tag: str, never: bool, parent: Node | None):
-        self.tag, self.never, self.parent = tag, never, parent
+    def __init__(self, tag: str, never: bool, named: bool, parent: Node | None):
+        self.tag, self.never, self.named, self.parent = tag, never, named, parent
         self.children: list[Node | str] = []
 
 
 def _is_never(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in NEVER or tag in ("header", "footer") and not (inside_article and tag == "header"):
         return True
-    if not attributes:
-        return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+    for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if name == "role" and value.lower() in NEVER_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(w.lower() in NEVER_NAMES for w in _NAME.findall(value)):
-            return True
+    return False
+
+
+def _is_named(tag: str, attributes: str, inside_article: bool) -> bool:
+    """Whether a class or identifier is one of NEVER_NAMES as a whole, or a known compound; within an article, header is none of them."""
+    if not attributes or tag in ("body", "html", "article", "main"):
+        return False
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for whole in (a or b or c).split():
+                words = {w.lower() for w in _NAME.findall(whole)}
+                if inside_article:
+                    words.discard("header")
+                if words & NEVER_NAMES and words <= NEVER_NAMES | BESIDE:
+                    return True
     return False
 
 
 def parse(html: str) -> Node:
     """A tree of elements and texts, with end tags implied where HTML implies them. Never fails; what isn't a tag is text."""
-    root = Node("#root", False, None)
+    root = Node("#root", False, False, None)
     at, stack, pos, articles = root, ["#root"], 0, 0
     while m := _TOKEN.match(html, pos):
         pos = m.end()
@@ -112,7 +128,8 @@ def parse(html: str) -> Node:
             at = _close(at, stack, ("p",))
         if tag in CLOSED_BY:
             at = _close(at, stack, CLOSED_BY[tag])
-        node = Node(tag, _is_never(tag, m.group(3), articles > 0), at)
+        never, named = _is_never(tag, m.group(3), articles > 0), _is_named(tag, m.group(3), articles > 0)
+        node = Node(tag, never or named and tag not in BLOCK, named, at)
         at.children.append(node)
         if tag not in VOID and not m.group(3).endswith("/"):
             at = node
@@ -144,7 +161,7 @@ class Block_:
 
 
 def blocks(root: Node) -> list[Block_]:
-    """The blocks of a tree in page order, without those of parts that are never content."""
+    """The blocks of a tree in page order, without those of parts that are never content; those of named parts are among them."""
     out: list[Block_] = []
     now = Block_(root)
 
@@ -303,8 +320,9 @@ def extract(html: str | None, ref: Reference | None = None, template: frozenset[
     constant: set[int] = set()
     if template and found:
         constant = {id(b) for b, d in zip(found, aligned(root, found, ref), strict=True) if d in template}
+    named = _named_slot(found)
+    found = _without_named(root, found, constant, named, template is not None)
     slots = [b for b in found if id(b) not in constant]
-    named = _named_slot(root, found)
     if named is None:
         return "\n".join(b.text for b in slots)
     inside = [b for b in found if _under(b.node, named)]
@@ -314,11 +332,50 @@ def extract(html: str | None, ref: Reference | None = None, template: frozenset[
     return "\n".join(b.text for b in own or inside)
 
 
+def _without_named(root: Node, found: list[Block_], constant: set[int], article: Node | None, told: bool) -> list[Block_]:
+    """The blocks but those of named parts, unless a part wraps the article or main element or, where the page has none
+    and alignment has ``told`` slots, the slots and half of the page's text."""
+    wraps: set[int] = set()
+    if article is not None:
+        n = article
+        while n is not None:
+            wraps.add(id(n))
+            n = n.parent
+    elif told and not _has_article(root):
+        size: dict[int, int] = {}
+        for b in found:
+            n = b.node
+            while n is not None and id(b) not in constant:
+                if n.named:
+                    size[id(n)] = size.get(id(n), 0) + len(b.text)
+                n = n.parent
+        total = _chars([b for b in found if id(b) not in constant])
+        wraps = {i for i, x in size.items() if x >= WRAPS * total and 2 * x >= _chars(found)}
+    out = []
+    for b in found:
+        n = b.node
+        while n is not None and not (n.named and id(n) not in wraps):
+            n = n.parent
+        if n is None:
+            out.append(b)
+    return out
+
+
+def _has_article(root: Node) -> bool:
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if n.tag in ("article", "main"):
+            return True
+        todo.extend(c for c in n.children if isinstance(c, Node))
+    return False
+
+
 def _chars(found: list[Block_]) -> int:
     return sum(len(b.text) for b in found)
 
 
-def _named_slot(root: Node, found: list[Block_]) -> Node | None:
+def _named_slot(found: list[Block_]) -> Node | None:
     """The article, or else the main element, that holds the most text; of nested ones the outer."""
     size: dict[int, int] = {}
     named: dict[int, Node] = {}
@@ -375,7 +432,7 @@ def templates(pages: DataFrame, body: str, h: str, ref: str, broadcast: bool) ->
     seen = materialise(seen, "html-blocks")
     each = seen.select("h", F.explode("keys").alias("key")).groupBy("h", "key").agg(F.count("*").alias("n"))
     n_pages = seen.groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= 2)
-    most = each.where("n >= 2").join(n_pages.where(F.col("pages") >= FEW), "h").where("2 * n > pages").groupBy("h").agg(F.collect_list("key").alias("most"))
+    most = _meet(each.where("n >= 2"), n_pages.where(F.col("pages") >= FEW), "h", "key", broadcast).where("2 * n > pages").groupBy("h").agg(F.collect_list("key").alias("most"))
     with_most = _meet(seen, most, "h", "page", broadcast)
     sized = F.filter(F.arrays_zip("sizes", "keys"), lambda x: F.col("most").isNull() | ~F.array_contains("most", x["keys"]))
     chars = lambda sizes: F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, n: a + n)
@@ -383,8 +440,8 @@ def templates(pages: DataFrame, body: str, h: str, ref: str, broadcast: bool) ->
     support = told.select("h", "content", F.explode("keys").alias("key")).distinct().groupBy("h", "key").agg(F.count("*").alias("n")).where("n >= 2")
     differing = told.groupBy("h", "content").agg(F.sum("own").alias("own"), F.sum("all").alias("all")).groupBy("h").agg(F.count("*").alias("contents"), F.sum("own").alias("own"), F.sum("all").alias("all"))
     contents = differing.where((F.col("contents") >= 2) & (F.col("own") >= ALIKE * F.col("all"))).select("h", "contents")
-    constant = F.collect_list(F.when(F.col("n") >= SHARE * F.col("contents"), F.col("key")))
-    return contents.join(support, "h", "left").groupBy("h").agg(constant.alias("template")).withColumnRenamed("h", h)
+    constant = _meet(support, contents, "h", "key", broadcast).where(F.col("n") >= F.greatest(SHARE * F.col("contents"), F.least("contents", F.lit(LEAST)))).groupBy("h").agg(F.collect_list("key").alias("template"))
+    return contents.join(constant, "h", "left").select(F.col("h").alias(h), F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
 
 
 def _remembered(parsed: dict[str, Reference], host: str, html: pa.Scalar) -> Reference:

@@ -502,3 +502,15 @@ def test_html_alignment_decides_within_and_beside_articles(spark):
     assert got[8:14] == [f"Teaser {i}\nThe long report number {i} stands beside the teaser" for i in range(6)]
     assert got[14:20] == [f"{i}\n{'The same long sentence on all of the pages here. ' * 3}".strip() for i in range(6)]
     assert got[20] == "Short"
+
+
+def test_html_names_are_evidence_only(spark):
+    article = "<header class='entry-header'><h1>Head {0}</h1></header><div class='post-header'><p>By me {0}</p></div><p>Words {0} of the text</p><div class='share-buttons'>Share {0}</div>"
+    wrappers = ["<div class='content-with-sidebar'>{}</div>", "<div class='has-sidebar'>{}</div>", "<div id='page-with-menu'>{}</div>", "<div class='sidebar'>{}</div>", "<div class='content sidebar-wrapper'>{}<div class='sidebar'>Side</div></div>"]
+    bodies = [(f"h{i}.example", w.format(f"<article>{article.format(i)}</article>")) for i, w in enumerate(wrappers)]
+    bodies += [("wrap.example", f"<div>Menu</div><div class='ad'>Buy {i}</div><div class='widget'><p>The story number {i} is here</p><p>and has some more {i * 7} words to it</p></div>") for i in range(5)]
+    bodies += [("empty.example", f"<div>A menu of many words</div><div class='ad'>Buy {i}</div>") for i in range(5)]
+    got = [r.text for r in pages_of(spark, bodies)]
+    assert got[:5] == [f"Head {i}\nBy me {i}\nWords {i} of the text" for i in range(5)]
+    assert got[5:10] == [f"The story number {i} is here\nand has some more {i * 7} words to it" for i in range(5)]
+    assert got[10:] == [""] * 5
