@@ -2,11 +2,12 @@
 
 A document is its sequence of non-blank lines. For each line, the guarantee window is the shortest run of
 lines from it on that holds ``min_words`` words; the line with the smallest hash in it is the window's
-fingerprint, so two documents that share such a run select the same fingerprint in it. Windows are joined at
-their fingerprint and the digest of the window, each to the earliest occurrence only, so a passage that
-stands in many documents costs one row for each. A match is then extended by the lines that follow; to the
-left there is nothing to extend, as the window one line earlier would be a match itself. All but the
-earliest occurrence of a repeated run are deleted.
+fingerprint, so two documents that share such a run select the same fingerprint in it. Windows are grouped by
+their fingerprint and the digest of the window, those that stand more than once also by the digests of the
+window with each of the lines that follow it (up to the end of the next window, which is a match itself if all
+of them agree). Each group has its earliest occurrence, so an occurrence extends to the longest run that any
+earlier occurrence holds, and no pairs are made. To the left there is nothing to extend, as the window one line
+earlier would be a match itself. All but the earliest occurrence of a repeated run are deleted.
 """
 
 from __future__ import annotations
@@ -38,14 +39,15 @@ def repeated_runs(df: DataFrame, text: str = "text", key: str = "doc_id", min_wo
     windows = full.select("k", "id", "pos", "f", digest.alias("d"), F.element_at("run", -1)["pos"].alias("end"), "rest")
     place = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("k").alias("c"), F.col("pos").alias("d"))
     windows = materialise(windows.withColumn("place", place), "line-windows")
-    first = F.min(F.struct("place", F.transform("rest", lambda x: x["h"]).alias("rest")))
-    firsts = windows.groupBy("f", "d").agg(F.count("*").alias("times"), first.alias("first")).where("times > 1")
-    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    later = windows.withColumn("salt", F.pmod(F.hash("k", "pos"), F.lit(salts))).join(firsts, ["f", "d", "salt"]).where(F.col("place") > F.col("first.place"))
-    same = F.zip_with("rest", "first.rest", lambda a, b: F.coalesce(a["h"] == b, F.lit(False)))
-    ext = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size("rest")).cast("int")
-    end = F.when(ext > 0, F.try_element_at("rest", ext)["pos"]).otherwise(F.col("end"))
-    spans = later.select("k", "id", "pos", end.alias("end"))
+    # digests of the window with its first 0, 1, 2... following lines: each has its own earliest occurrence
+    onward = F.aggregate("rest", F.array(F.col("d")), lambda a, x: F.concat(a, F.array(F.xxhash64(F.element_at(a, -1), x["h"]))))
+    shared = windows.groupBy("f", "d").agg(F.count("*").alias("times")).where("times > 1").select("f", "d")
+    again = _at_salt(windows, shared, ["f", "d"], salts).select("k", "id", "pos", "end", "place", "rest", F.posexplode(onward).alias("ext", "p"))
+    firsts = again.groupBy("p", "ext").agg(F.count("*").alias("times"), F.min("place").alias("first")).where("times > 1").drop("times")
+    later = _at_salt(again, firsts, ["p", "ext"], salts).where(F.col("place") > F.col("first"))
+    stop = F.when(F.col("ext") > 0, F.try_element_at("rest", F.col("ext"))["pos"]).otherwise(F.col("end"))
+    later = later.groupBy("k", "id", "pos").agg(F.max(stop).alias("end"))
+    spans = later.select("k", "id", "pos", "end")
     before = Window.partitionBy("k", "id").orderBy("pos", "end")
     reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
     island = spans.withColumn("new", F.when(F.col("pos") <= reach + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
@@ -53,6 +55,12 @@ def repeated_runs(df: DataFrame, text: str = "text", key: str = "doc_id", min_wo
     return merged.groupBy("k", "id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("islands"))
 
 
+def _at_salt(rows: DataFrame, found: DataFrame, by: list[str], salts: int) -> DataFrame:
+    """``rows`` with the row of ``found`` that equals them in ``by``; those of one key spread over ``salts`` tasks."""
+    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash("k", "pos"), F.lit(salts))).join(spread, [*by, "salt"]).drop("salt")
+
+
 def line_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = 50, salts: int = SALTS) -> DataFrame:
     """``df`` with the later occurrences of repeated runs deleted from ``text``, and the columns n_lines and n_deleted.
 

@@ -514,3 +514,36 @@ def test_html_names_are_evidence_only(spark):
     assert got[:5] == [f"Head {i}\nBy me {i}\nWords {i} of the text" for i in range(5)]
     assert got[5:10] == [f"The story number {i} is here\nand has some more {i * 7} words to it" for i in range(5)]
     assert got[10:] == [""] * 5
+
+
+def brute_runs(rows, least):
+    """The later occurrences of the longest runs, by comparison with all earlier places."""
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    lines, gone = {}, collections.defaultdict(set)
+    for d in order:
+        own = [(p, x.strip(" "), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for p, x in enumerate(d[1].split("\n"))]
+        lines[d] = [x for x in own if x[2]]
+    spots = [(d, i) for d in order for i in range(len(lines[d]))]
+    for at, (d, i) in enumerate(spots):
+        for e, j in spots[:at]:
+            n = size = 0
+            while i + n < len(lines[d]) and j + n < len(lines[e]) and lines[d][i + n][1] == lines[e][j + n][1]:
+                size += lines[d][i + n][2]
+                n += 1
+            if size >= least:
+                gone[d].update(range(lines[d][i][0], lines[d][i + n - 1][0] + 1))
+    return {d: "\n".join(x for p, x in enumerate(d[1].split("\n")) if p not in gone[d]) for d in order}
+
+
+def test_line_dedup_extends_to_the_longest_earlier_run(spark):
+    rnd = random.Random(12)
+    start, tail = prose(52, rnd), [prose(6, rnd) for _ in range(4)]
+    pool = [prose(n, rnd) for n in (2, 5, 8, 12, 20, 30, 55)] + [""]
+    rows = [(1, f"{start}\nother words"), (2, "\n".join([start, *tail])), (3, "\n".join([start, *tail[:3], "own end"])), (4, "\n".join([start, tail[0], "x y"]))]
+    rows += [(i, "\n".join(rnd.choices(pool, k=rnd.randint(0, 14)))) for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for least in (10, 50):
+        want = brute_runs(rows, least)
+        got = {(r.doc_id): r.text for r in line_dedup.line_dedup(df, min_words=least).collect()}
+        assert got == {i: want[(i, t)] for i, t in rows}
+    assert got[3] == "own end" and got[4] == "x y"
