@@ -4,8 +4,9 @@ Each shard (a slice of a partition, bounded in bytes) gets a suffix array over i
 doubling as deep as the longest benchmark item; only groups that are still tied are sorted again. Every
 benchmark suffix is binary-searched in it, all at once, which gives the range of suffixes that begin with its
 first ``window`` words and so every occurrence; occurrences that follow one another in both texts are joined
-to the longest verbatim matches. Documents are read once, nothing is shuffled; the benchmark reaches the
-executors in blocks of a bounded size, with one pass for each block.
+to the longest verbatim matches. Documents are read once, nothing is shuffled. A benchmark beyond a bounded size
+reaches the executors in blocks, with one pass for each block over rows that are written once with a number of
+their own, by which the blocks' results are merged.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import fresh, table
+from emberflow.llm.common import fresh, materialise, table
 from emberflow.llm.textkit import U, mix, slices, text_buffer, words
 
 WINDOW = 10
@@ -182,17 +183,18 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     item of fewer words than ``window``, but not none, is matched whole. A document word inside any match is
     hit. Null and empty texts have no words and no matches; an item without words is never found, and items
     that repeat an identifier count once. A null item identifier is listed as an empty string. An empty
-    benchmark hits nothing. A carried column whose name clashes with a result column is an error of the caller.
+    benchmark hits nothing. Rows that repeat an identifier or have none stay rows of their own. A carried column whose name clashes with a result column is an error of the caller.
     """
     carry = carry or ["doc_id"]
     spark = df.sparkSession
-    (body,) = fresh(carry, "body")
+    body, row = fresh(carry, "body", "row")
     narrow = df.select(*carry, F.col(text).alias(body))
     more = T._parse_datatype_string(f"n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, matches {MATCHES}")
-    schema = T.StructType([*narrow.select(*carry).schema.fields, *more.fields])
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))]
 
-    def scan(items: list[tuple[str, str | None]]) -> DataFrame:
+    def scan(rows: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
+        own_columns = [c for c in rows.columns if c != body]
+        schema = T.StructType([*rows.select(*own_columns).schema.fields, *more.fields])
         found, longest = windows(items, window)
         sent = spark.sparkContext.broadcast((found, longest, [i for i, _ in items]))
 
@@ -211,25 +213,29 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
                         n_items[i], sha[i] = len(ids), _sha(ids)
                         lists[i] = [{"item_id": names[h[1]], "doc_word": h[2], "item_word": h[3], "n_words": h[4]} for h in own]
                     new = [n_words, n_hit, n_items, sha, [h > 0 for h in n_hit], lists]
-                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), *(pa.array(x, k) for x, k in zip(new, kinds, strict=True))], [*carry, *(f.name for f in more.fields)])
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own_columns), *(pa.array(x, k) for x, k in zip(new, kinds, strict=True))], [*own_columns, *(f.name for f in more.fields)])
 
-        return narrow.mapInArrow(work, schema)
+        return rows.mapInArrow(work, schema)
 
     blocks = _blocks(benchmark, item, item_text, block_bytes)
-    out = scan(next(blocks))
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return scan(narrow, first)
+    rows = materialise(narrow.withColumn(row, F.monotonically_increasing_id()), "benchmark-rows")
+    out = scan(rows, first).unionByName(scan(rows, second))
     for items in blocks:
-        out = _merge(narrow, out, scan(items), carry, body, more)
-    return out
+        out = out.unionByName(scan(rows, items))
+    return _merge(out, row, carry, more)
 
 
 def _sha(ids: list[str]) -> str:
     return hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
-def _merge(narrow: DataFrame, a: DataFrame, b: DataFrame, carry: list[str], body: str, more: T.StructType) -> DataFrame:
-    """Both blocks' results in one. Rows with equal carried values and the same number of words are one row: give ``carry`` an identifier."""
+def _merge(found: DataFrame, row: str, carry: list[str], more: T.StructType) -> DataFrame:
+    """All blocks' results in one, by the number of the row."""
     names = [f.name for f in more.fields]
-    both = a.unionByName(b).groupBy(*carry, "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    both = found.groupBy(row).agg(*(F.first(c).alias(c) for c in [*carry, "n_words"]), F.flatten(F.collect_list("matches")).alias("matches"))
     pos = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["doc_word"], m["doc_word"] + m["n_words"] - 1))))
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     out = both.withColumns({"n_hit": F.size(pos).cast("bigint"), "n_items": F.size(ids).cast("bigint"), "items_sha256": F.sha2(F.concat_ws(",", ids), 256)})

@@ -547,3 +547,13 @@ def test_line_dedup_extends_to_the_longest_earlier_run(spark):
         got = {(r.doc_id): r.text for r in line_dedup.line_dedup(df, min_words=least).collect()}
         assert got == {i: want[(i, t)] for i, t in rows}
     assert got[3] == "own end" and got[4] == "x y"
+
+
+def test_decontaminate_in_blocks_keeps_all_rows(spark):
+    """Rows that repeat an identifier, or have none, with equally many words."""
+    a, b = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    rows = [(1, a), (1, a), (1, b), (1, " ".join(f"c{i}" for i in range(20))), (None, a), (None, b), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    items = spark.createDataFrame([(k, " ".join(t.split()[k : k + 12])) for t in (a, b) for k in range(6)], "item_id bigint, text string")
+    one, many = (collections.Counter(r[:6] for r in decontaminate(df, items, block_bytes=n).drop("matches").collect()) for n in (1 << 20, 100))
+    assert one == many and sum(many.values()) == len(rows)
