@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import pytest
 from emberflow.llm import exact_dedup, html_extract, language_id, license_scan, line_dedup, lm_score, ngram_join, sentencepiece_codec, token_counts
@@ -557,3 +558,10 @@ def test_decontaminate_in_blocks_keeps_all_rows(spark):
     items = spark.createDataFrame([(k, " ".join(t.split()[k : k + 12])) for t in (a, b) for k in range(6)], "item_id bigint, text string")
     one, many = (collections.Counter(r[:6] for r in decontaminate(df, items, block_bytes=n).drop("matches").collect()) for n in (1 << 20, 100))
     assert one == many and sum(many.values()) == len(rows)
+
+
+def test_readme_lists_the_known_licences():
+    readme = (Path(license_scan.__file__).parents[2] / "README.md").read_text()
+    listed = readme[readme.index("* `op2`") : readme.index("* `op3`")]
+    names = {w.rstrip(".") for w in re.split(r"[\s,();]+", listed)}
+    assert set(license_scan.NOTICES) | set(license_scan.TEXTS) <= names
