@@ -565,3 +565,21 @@ def test_readme_lists_the_known_licences():
     listed = readme[readme.index("* `op2`") : readme.index("* `op3`")]
     names = {w.rstrip(".") for w in re.split(r"[\s,();]+", listed)}
     assert set(license_scan.NOTICES) | set(license_scan.TEXTS) <= names
+
+
+def test_language_of_pages_by_markup_and_address(spark):
+    """Texts without a known trigram are told by the html element's language, or by the address's suffix."""
+    assert "llm_page_language" in language_id.QUERIES
+    labelled = [(i, "the cat and the dog went home with us", "en") for i in range(20)] + [(20 + i, "der hund und die katze gehen nach hause", "de") for i in range(20)]
+    model = language_id.fit(spark.createDataFrame(labelled, "doc_id bigint, text string, lang string"))
+    same = "<html{}><body><p>qqq xxx qqq</p><script>the the the</script></body></html>"
+    rows = [(1, "http://a.example/", same.format(" lang='de-AT'")), (2, "http://a.example/", same.format(' lang="en"'))]
+    rows += [(100 + i, f"http://h{i}.de/", "<p>der hund und die katze gehen nach hause</p>") for i in range(30)]
+    rows += [(200 + i, f"http://h{i}.uk/", "<p>the cat and the dog went home with us</p>") for i in range(30)]
+    rows += [(3, "http://new.de/", same.format("")), (4, "http://new.uk/", same.format(""))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.language for r in language_id.identify_pages(df, model).collect()}
+    assert len(got) == len(rows) and got[100] == "de" and got[200] == "en"
+    assert (got[1], got[2]) == ("de", "en")
+    odds = {r.page_id: r.language_confidence for r in language_id.identify_pages(df, model).collect()}
+    assert got[3] != got[4] or odds[3] != odds[4]
