@@ -15,6 +15,11 @@ from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of an Arrow batch on its way to a worker, and of finished groups that a worker gathers into one batch.
+BATCH_BYTES = 4 << 20
+#: Bytes that a task writes of a table between two steps, at most and roughly.
+WRITE_BYTES = 32 << 20
+_BATCH, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,13 +45,42 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, n_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here, and a lost executor costs
-    at most the tasks that were running on it."""
+    at most the tasks that were running on it. ``discard`` removes what has no reader left.
+
+    With ``n_bytes``, an upper estimate of its size, it is written by no more tasks than that many bytes need
+    (but by twice the cores at least), so that small tables aren't hundreds of files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if n_bytes is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // WRITE_BYTES)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Remove tables that ``materialise`` wrote, once all that reads them is written itself."""
+    for df in written:
+        if path := getattr(df, "_written_to", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes.
+
+    Spark's default of 64 MB a batch is held by the JVM and by the worker at once, so a session that has
+    not set ``spark.sql.execution.arrow.maxBytesPerBatch`` itself gets BATCH_BYTES.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) in _DEFAULT_BATCH:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -76,18 +110,28 @@ def fresh(names: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def grouped(df: DataFrame, by: list[str], schema: T.StructType | str, work: Callable[[pa.Table], pa.RecordBatch | None]) -> DataFrame:
-    """``work`` for each group of ``by``; the groups stream through sorted partitions, one in memory at a time."""
-    placed = df.repartition(*by).sortWithinPartitions(*by)
+def grouped(
+    df: DataFrame, by: list[str], schema: T.StructType | str, work: Callable[[pa.Table], pa.RecordBatch | None], partitions: int | None = None
+) -> DataFrame:
+    """``work`` for each group of ``by``; the groups stream through sorted partitions, one in memory at a time.
+
+    What a group leaves over of a batch is copied, so that no batch stays in memory for a few of its rows, and
+    results are handed on by their bytes. ``partitions`` fixes the number of tasks; without it AQE may join some.
+    """
+    placed = (df.repartition(partitions, *by) if partitions else df.repartition(*by)).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         done: list[pa.RecordBatch] = []
         last = None
+        size = 0
 
-        def finish() -> None:
-            if held and (out := work(pa.Table.from_batches(held))) is not None:
-                done.append(out)
+        def finish() -> int:
+            out = work(pa.Table.from_batches(held)) if held else None
+            if out is None:
+                return 0
+            done.append(out)
+            return out.nbytes
 
         for b in batches:
             if b.num_rows == 0:
@@ -101,16 +145,21 @@ def grouped(df: DataFrame, by: list[str], schema: T.StructType | str, work: Call
             at = 0
             for s in [*np.flatnonzero(new).tolist(), b.num_rows]:
                 if s > at:
-                    held.append(b.slice(at, s - at))
+                    whole = s - at == b.num_rows or s < b.num_rows
+                    held.append(b.slice(at, s - at) if whole else b.take(pa.array(np.arange(at, s))))
                 if s < b.num_rows:
-                    finish()
-                    held = []
-                    if len(done) >= 500:
-                        yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-                        done = []
+                    size += finish()
+                    held.clear()
+                    if size >= BATCH_BYTES or len(done) >= 500:
+                        yield from _joined(done)
+                        done.clear()
+                        size = 0
                 at = s
         finish()
-        if done:
-            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        yield from _joined(done)
+
+    return arrow_map(placed, run, schema)
+
 
-    return placed.mapInArrow(run, schema)
+def _joined(done: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(done).combine_chunks().to_batches() if len(done) > 1 else list(done)

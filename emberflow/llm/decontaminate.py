@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import fresh, materialise, table
+from emberflow.llm.common import arrow_map, fresh, materialise, table
 from emberflow.llm.textkit import U, mix, slices, text_buffer, words
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text in a block; more than that is searched in several passes.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of text in a shard, and of benchmark text in a block (its expanded windows are some 16 times that);
+#: a larger benchmark is searched in several passes.
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 4 << 20
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -157,6 +158,9 @@ def search(data: np.ndarray, off: np.ndarray, wanted: dict, longest: int) -> tup
 MATCHES = "array<struct<item_id: string, doc_word: bigint, item_word: bigint, n_words: bigint>>"
 
 
+RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches")
+
+
 def _covered(spans: list[tuple[int, int]]) -> int:
     n, end = 0, 0
     for s, e in sorted(spans):
@@ -183,25 +187,31 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     item of fewer words than ``window``, but not none, is matched whole. A document word inside any match is
     hit. Null and empty texts have no words and no matches; an item without words is never found, and items
     that repeat an identifier count once. A null item identifier is listed as an empty string. An empty
-    benchmark hits nothing. Rows that repeat an identifier or have none stay rows of their own. A carried column whose name clashes with a result column is an error of the caller.
+    benchmark hits nothing. Rows that repeat an identifier or have none stay rows of their own.
+    Whole texts are searched, whatever their length; an empty table stays empty. Carried columns named like a result
+    column are left out.
     """
-    carry = carry or ["doc_id"]
+    carry = [c for c in carry or ["doc_id"] if c.lower() not in RESULT]
     spark = df.sparkSession
     body, row = fresh(carry, "body", "row")
-    narrow = df.select(*carry, F.col(text).alias(body))
+    quoted = [F.col(f"`{c}`") for c in carry]
+    if text in carry:  # the text goes to the workers once
+        body, narrow = text, df.select(*quoted)
+    else:
+        narrow = df.select(*quoted, F.col(text).alias(body))
     more = T._parse_datatype_string(f"n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, matches {MATCHES}")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))]
 
     def scan(rows: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
-        own_columns = [c for c in rows.columns if c != body]
-        schema = T.StructType([*rows.select(*own_columns).schema.fields, *more.fields])
+        own_columns = [c for c in rows.columns if c in carry or c == row]
+        schema = T.StructType([*(rows.schema[c] for c in own_columns), *more.fields])
         found, longest = windows(items, window)
         sent = spark.sparkContext.broadcast((found, longest, [i for i, _ in items]))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted, deep, names = sent.value
             for batch in batches:
-                for b in slices(batch, body):
+                for b in slices(batch, body, SHARD_BYTES):
                     n_words, hits = search(*text_buffer(b.column(body)), wanted, deep)
                     m = b.num_rows
                     n_hit, n_items, sha, lists = [0] * m, [0] * m, [_sha([])] * m, [[]] * m
@@ -215,7 +225,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
                     new = [n_words, n_hit, n_items, sha, [h > 0 for h in n_hit], lists]
                     yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own_columns), *(pa.array(x, k) for x, k in zip(new, kinds, strict=True))], [*own_columns, *(f.name for f in more.fields)])
 
-        return rows.mapInArrow(work, schema)
+        return arrow_map(rows, work, schema)
 
     blocks = _blocks(benchmark, item, item_text, block_bytes)
     first, second = next(blocks), next(blocks, None)
@@ -235,11 +245,11 @@ def _sha(ids: list[str]) -> str:
 def _merge(found: DataFrame, row: str, carry: list[str], more: T.StructType) -> DataFrame:
     """All blocks' results in one, by the number of the row."""
     names = [f.name for f in more.fields]
-    both = found.groupBy(row).agg(*(F.first(c).alias(c) for c in [*carry, "n_words"]), F.flatten(F.collect_list("matches")).alias("matches"))
+    both = found.groupBy(row).agg(*(F.first(F.col(f"`{c}`")).alias(c) for c in [*carry, "n_words"]), F.flatten(F.collect_list("matches")).alias("matches"))
     pos = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["doc_word"], m["doc_word"] + m["n_words"] - 1))))
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     out = both.withColumns({"n_hit": F.size(pos).cast("bigint"), "n_items": F.size(ids).cast("bigint"), "items_sha256": F.sha2(F.concat_ws(",", ids), 256)})
-    return out.withColumn("contaminated", F.col("n_hit") > 0).select(*carry, *names)
+    return out.withColumn("contaminated", F.col("n_hit") > 0).select(*(F.col(f"`{c}`") for c in carry), *names)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import ascii_lower, materialise, partitions_for, table
+from emberflow.llm.common import arrow_map, ascii_lower, materialise, partitions_for, table
 
 #: Runs at partition edges are broadcast only up to so many; beyond that they are joined by a shuffle.
 EDGE_ROWS = 200_000
@@ -69,7 +69,7 @@ def runs(df: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "ma
         if ids:
             yield rows([(True, sha, ids)])
 
-    return placed.mapInArrow(scan, schema)
+    return arrow_map(placed, scan, schema)
 
 
 def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "max", partitions: int | None = None) -> DataFrame:
@@ -80,10 +80,9 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep: st
     such a row stays only if its group has no other. Of rows that repeat an identifier and a text, exactly
     one is kept. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    spark = df.sparkSession
     found = materialise(runs(df, text, key, keep, partitions), "exact-runs")
     edges = found.where("edge").groupBy("sha").agg(F.sum("n").alias("size"), F.max(F.struct("pid", "last")).alias("top"))
-    if spark.sparkContext.defaultParallelism and found.select(F.max("pid")).first()[0] is not None and found.where("edge").limit(EDGE_ROWS + 1).count() <= EDGE_ROWS:
+    if found.select(F.max("pid")).first()[0] is not None and found.where("edge").limit(EDGE_ROWS + 1).count() <= EDGE_ROWS:
         edges = F.broadcast(edges)
     joined = found.join(edges, "sha", "left")
     whole = joined.select("sha", "ids", F.coalesce("size", "n").alias("size"), F.coalesce("top.last", "last").alias("keep_id"), (F.col("top").isNull() | (F.col("top.pid") == F.col("pid"))).alias("mine"))

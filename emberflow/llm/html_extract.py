@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import fresh, materialise, table
+from emberflow.llm.common import arrow_map, fresh, materialise, table
 from emberflow.llm.language_id import host_of
 from emberflow.llm.textkit import slices
 
@@ -401,9 +401,10 @@ def _meet(rows: DataFrame, facts: DataFrame, host: str, salt_by: str, broadcast:
     facts = facts.withColumnRenamed(host, f"{host}_h")
     if broadcast:
         return rows.join(F.broadcast(facts), F.col(host) == F.col(f"{host}_h"), "left").drop(f"{host}_h")
-    spread = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("__own", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, (F.col(host) == F.col(f"{host}_h")) & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt", f"{host}_h")
+    salt, own = fresh([*rows.columns, *facts.columns], "salt", "own")
+    spread = facts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn(own, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, (F.col(host) == F.col(f"{host}_h")) & (F.col(own) == F.col(salt)), "left").drop(own, salt, f"{host}_h")
 
 
 def templates(pages: DataFrame, body: str, h: str, ref: str, broadcast: bool) -> DataFrame:
@@ -427,7 +428,7 @@ def templates(pages: DataFrame, body: str, h: str, ref: str, broadcast: bool) ->
                     sizes.append(list(own.values()))
                 yield pa.RecordBatch.from_arrays([b.column(h), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], ["h", "keys", "sizes"])
 
-    seen = pages.mapInArrow(work, "h string, keys array<bigint>, sizes array<bigint>").where("size(keys) > 0")
+    seen = arrow_map(pages, work, "h string, keys array<bigint>, sizes array<bigint>").where("size(keys) > 0")
     seen = seen.withColumn("page", F.xxhash64(F.array_sort("keys"))).dropDuplicates(["h", "page"])
     seen = materialise(seen, "html-blocks")
     each = seen.select("h", F.explode("keys").alias("key")).groupBy("h", "key").agg(F.count("*").alias("n"))
@@ -461,15 +462,16 @@ def html_extract(df: DataFrame, html: str = "html", url: str = "url", key: str =
     Repeated rows are treated alike; an empty table stays empty.
     """
     carry = carry or [key, url]
-    body, h, one, template = fresh(carry, "body", "host", "one", "template")
-    pages = df.select(*carry, F.coalesce(F.col(html), F.lit("")).alias(body), host_of(F.col(url)).alias(h), F.xxhash64(key, url).alias("__order"))
-    refs = pages.where(F.col(body) != "").groupBy(h).agg(F.min_by(body, F.struct("__order", body)).alias(one))
+    body, h, one, template, order = fresh(carry, "body", "host", "one", "template", "order")
+    quoted = [F.col(f"`{c}`") for c in carry]
+    pages = df.select(*quoted, F.coalesce(F.col(html), F.lit("")).alias(body), host_of(F.col(url)).alias(h), F.xxhash64(key, url).alias(order))
+    refs = pages.where(F.col(body) != "").groupBy(h).agg(F.min_by(body, F.struct(order, body)).alias(one))
     size = df.select(host_of(F.col(url)).alias("h"), F.octet_length(html).alias("n")).groupBy("h").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
     small = 2 * size <= broadcast_bytes
     refs = materialise(refs, "html-references")
-    pages = pages.drop("__order")
+    pages = pages.drop(order)
     facts = refs.join(templates(_meet(pages.select(body, h), refs, h, body, small), body, h, one, small), h, "left")
-    met = _meet(pages, facts, h, body, small).select(*carry, body, h, one, template)
+    met = _meet(pages, facts, h, body, small).select(*quoted, body, h, one, template)
     more = T._parse_datatype_string("text string, n_chars bigint")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,7 +489,7 @@ def html_extract(df: DataFrame, html: str = "html", url: str = "url", key: str =
                     texts.append(extract(page, ref, known[host]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*carry, "text", "n_chars"])
 
-    return met.mapInArrow(work, T.StructType([*pages.select(*carry).schema.fields, *more.fields]))
+    return arrow_map(met, work, T.StructType([*(pages.schema[c] for c in carry), *more.fields]))
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import fresh, materialise, table
+from emberflow.llm.common import arrow_map, fresh, materialise, table
 from emberflow.llm.textkit import LOWER_TABLE, slices, text_buffer
 
 CELLS = 1 << 16
@@ -38,22 +38,27 @@ _LETTER = np.full(256, 0x20, np.uint8)
 _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
 _LETTER[0x80:] = np.arange(0x80, 0x100)
 _LETTER = _LETTER[LOWER_TABLE]
+_FIRST, _SECOND, _THIRD = (np.arange(256, dtype=np.uint32) * np.uint32(k) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
 def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cell, text) of every letter trigram; all but letters count as a space, and trigrams with two spaces are left out."""
     if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     b = _LETTER[data]
-    code = b[:-2].astype(np.uint32) * np.uint32(0x9E3779B1) + b[1:-1].astype(np.uint32) * np.uint32(0x85EBCA77) + b[2:].astype(np.uint32) * np.uint32(0xC2B2AE3D)
-    code = (code ^ (code >> np.uint32(15))) & np.uint32(CELLS - 1)
+    code = _FIRST[b[:-2]]
+    code += _SECOND[b[1:-1]]
+    code += _THIRD[b[2:]]
+    code ^= code >> np.uint32(15)
+    code &= np.uint32(CELLS - 1)
     space = b == 0x20
     keep = (space[:-2].astype(np.int8) + space[1:-1] + space[2:]) < 2
     for k in (1, 2):  # no trigram over the edge of two texts
         edge = off[1:-1] - k
         keep[edge[(edge >= 0) & (edge < len(keep))]] = False
-    at = np.flatnonzero(keep)
-    return code[at].astype(np.int64), np.searchsorted(off, at, "right") - 1
+    kept = np.concatenate([[0], np.cumsum(keep, dtype=np.int32), [0, 0]])
+    kept[-2:] = kept[-3]
+    return code[keep].astype(np.int32), np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(kept[off]))
 
 
 @dataclass(frozen=True)
@@ -67,7 +72,7 @@ class LanguageModel:
         """Log likelihoods of each text (texts x languages), and the bytes of its letters."""
         cell, text = trigrams(data, off)
         n = len(off) - 1
-        count = np.diff(np.concatenate([[0], np.cumsum(_LETTER[data] != 0x20)])[off])
+        count = np.diff(np.concatenate([[0], np.cumsum(_LETTER[data] != 0x20, dtype=np.int32)])[off])
         out = np.stack([np.bincount(text, self.logp[cell, k], n) for k in range(len(self.languages))], 1) if len(cell) else np.zeros((n, len(self.languages)))
         return out, count
 
@@ -84,10 +89,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
             for b in slices(whole, "text"):
                 cell, doc = trigrams(*text_buffer(b.column("text")))
                 names, index = np.unique(np.array(b.column("label").to_pylist(), object), return_inverse=True)
-                both, times = np.unique(index[doc] * CELLS + cell, return_counts=True)
+                both, times = np.unique(index[doc].astype(np.int64) * CELLS + cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names[both // CELLS].tolist(), pa.string()), pa.array(both % CELLS), pa.array(times.astype(np.int64))], ["label", "cell", "n"])
 
-    found = sample.mapInArrow(count, "label string, cell bigint, n bigint").groupBy("label", "cell").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow_map(sample, count, "label string, cell bigint, n bigint").groupBy("label", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(set(found.label)))
     logp = np.full((CELLS, len(languages) + 1), -np.log(CELLS))
     for k, name in enumerate(languages):
@@ -118,13 +123,19 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", host: Colu
     ``host`` gives a row's host, ``declared`` what its markup declares (``en`` or ``en-GB``; others and null
     are no evidence). Null and empty texts, and texts without letters, have no language (null), confidence 0,
     and aren't accepted; neither are rows whose best class is ``und`` or has a posterior under ACCEPT. A null
-    host is the empty host. Rows keep their order of columns; columns named like the new ones are replaced.
-    Repeated rows are judged alike. An empty table stays empty.
+    host is the empty host. Of equally likely languages the first by name is taken. Whole texts are judged,
+    whatever their length. A model without languages (nothing was labelled) accepts nothing. Rows keep their
+    order of columns; columns named like the new ones are replaced. Repeated rows are judged alike. An empty
+    table stays empty.
     """
     new = ("language", "language_confidence", "language_accepted")
     names = [c for c in df.columns if c.lower() not in new]
     body, h, d, own, up = fresh(names, "body", "host", "declared", "own", "up")
-    docs = df.select(*names, F.col(text).alias(body), F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias(h), F.lower(F.substring_index(F.coalesce(declared if declared is not None else F.lit(""), F.lit("")), "-", 1)).alias(d))
+    quoted = [F.col(f"`{c}`") for c in names]
+    more = [] if text in names else [F.col(text).alias(body)]  # the text goes to the workers once
+    body = body if more else text
+    read = [*quoted, *(F.col(body) for _ in more)]
+    docs = df.select(*quoted, *more, F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias(h), F.lower(F.substring_index(F.coalesce(declared if declared is not None else F.lit(""), F.lit("")), "-", 1)).alias(d))
     n_lang, flat = len(model.languages), _flat_prior(len(model.languages))
     sent = df.sparkSession.sparkContext.broadcast(model)
 
@@ -138,22 +149,25 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", host: Colu
                     sums = np.stack([np.bincount(at, p[:, k], len(hosts)) for k in range(n_lang)], 1)
                     yield pa.RecordBatch.from_arrays([pa.array(hosts.tolist(), pa.string()), *(pa.array(sums[:, k]) for k in range(n_lang))], ["h", *(f"p{k}" for k in range(n_lang))])
 
-    sums = docs.select(h, body).mapInArrow(shares, "h string, " + ", ".join(f"p{k} double" for k in range(n_lang)))
+    sums = arrow_map(docs.select(h, f"`{body}`"), shares, "h string, " + ", ".join(f"p{k} double" for k in range(n_lang)))
     by_host = sums.groupBy("h").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(n_lang)))
     by_host = materialise(by_host.select("h", F.array(*(f"p{k}" for k in range(n_lang))).alias("own")), "language-hosts")
     suffix = F.when(F.instr("h", ".") > 0, F.substring_index("h", ".", -1)).otherwise(F.lit(""))
     add = F.array(*(F.sum(F.col("own")[k]) for k in range(n_lang)))
     everything = [float(x or 0) for x in by_host.agg(add.alias("a")).first().a]
     by_suffix = by_host.groupBy(suffix.alias("s")).agg(add.alias("up"))
+    n_hosts = by_host.count()
+    if n_hosts <= BROADCAST_HOSTS or by_suffix.count() <= BROADCAST_HOSTS:
+        by_suffix = F.broadcast(by_suffix)  # one suffix may hold most hosts
     hosts = by_host.withColumn("s", suffix).join(by_suffix, "s").select(F.col("h").alias(f"{h}_h"), F.col("own").alias(own), F.col("up").alias(up))
-    if by_host.count() <= BROADCAST_HOSTS:
+    if n_hosts <= BROADCAST_HOSTS:
         met = docs.join(F.broadcast(hosts), docs[h] == F.col(f"{h}_h"), "left")
     else:
         (salt,) = fresh([*docs.columns, own, up], "salt")
         spread = hosts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = docs.withColumn(salt, F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int"))
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{body}`")), F.lit(SALTS)).cast("int"))
         met = salted.join(spread, (salted[h] == spread[f"{h}_h"]) & (salted[salt] == spread[salt]), "left").drop(salted[salt]).drop(spread[salt])
-    met = met.select(*names, body, d, own, up)
+    met = met.select(*read, d, own, up)
     total = np.array(everything)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +195,8 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", host: Colu
                 good = (count > 0) & (best < n_lang - 1) & (sure >= ACCEPT)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(known, pa.string()), pa.array(sure), pa.array(good)], [*names, *new])
 
-    more = T._parse_datatype_string("language string, language_confidence double, language_accepted boolean")
-    return met.mapInArrow(decide, T.StructType([*df.select(*names).schema.fields, *more.fields]))
+    added = T._parse_datatype_string("language string, language_confidence double, language_accepted boolean")
+    return arrow_map(met, decide, T.StructType([*df.select(*quoted).schema.fields, *added.fields]))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
@@ -190,6 +204,14 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return identify(docs, fit(docs), host=F.col("source"))
 
 
+def known_language(docs: DataFrame, text: str, label: str, key: str, host: str) -> DataFrame:
+    """The rows whose language is accepted, with their columns; all rows if none has a label, as nothing can be judged then."""
+    model = fit(docs, text, label, key)
+    if model.languages == (UNKNOWN,):
+        return docs
+    return identify(docs, model, text, F.col(host)).where("language_accepted").select(*docs.columns)
+
+
 def identify_pages(pages: DataFrame, model: LanguageModel) -> DataFrame:
     """Pages by the text between their tags, their html element's lang attribute and the host of their address."""
     bare = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", " ")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import fresh, table
+from emberflow.llm.common import arrow_map, fresh, table
 from emberflow.llm.textkit import slices
 
 # Spellings that licence matching treats as equivalent.
@@ -121,7 +121,8 @@ def license_scan(df: DataFrame, text: str = "text", carry: list[str] | None = No
     known = known_digests() if known is None else known
     (body,) = fresh(carry, "body")
     by_form: dict[str, str] = dict(known)
-    narrow = df.select(*carry, F.col(text).alias(body))
+    quoted = [F.col(f"`{c}`") for c in carry]
+    narrow = df.select(*quoted, F.col(text).alias(body))
     more = T._parse_datatype_string("text_digest string, notices array<string>, n_notice_lines bigint")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +137,9 @@ def license_scan(df: DataFrame, text: str = "text", carry: list[str] | None = No
                     counts.append(len(found))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(digests, pa.string()), pa.array(notices, pa.list_(pa.string())), pa.array(counts, pa.int64())], [*carry, *(f.name for f in more.fields)])
 
-    forms = narrow.mapInArrow(scan, T.StructType([*narrow.select(*carry).schema.fields, *more.fields]))
+    forms = arrow_map(narrow, scan, T.StructType([*(narrow.schema[c] for c in carry), *more.fields]))
     rows = spark.createDataFrame(sorted(known.items()), "text_digest string, license_id string")
-    return forms.join(F.broadcast(rows), "text_digest", "left").select(*carry, "text_digest", "license_id", "notices", "n_notice_lines")
+    return forms.join(F.broadcast(rows), "text_digest", "left").select(*quoted, "text_digest", "license_id", "notices", "n_notice_lines")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

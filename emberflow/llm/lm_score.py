@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import grouped, materialise, table
+from emberflow.llm.common import discard, grouped, materialise, partitions_for, table
 from emberflow.llm.textkit import U, mix, text_buffer, words
 
-#: UTF-8 bytes of text in a block, and n-grams in a range, both on average.
-BLOCK_BYTES, RANGE_KEYS = 8 << 20, 1 << 20
+#: UTF-8 bytes of text in a block, and n-grams in a range, both on average; bytes of a task's input in an exchange.
+BLOCK_BYTES, RANGE_KEYS, TASK_BYTES = 4 << 20, 1 << 19, 16 << 20
 #: The remainder of crc32(identifier) mod 10 that is never learned from, and the one that the weights are learned on.
 TEST, DEV = 0, 9
 BUCKETS = 42
@@ -33,6 +33,12 @@ _BEGIN, _END = (int(x) for x in mix(np.array([0xB0, 0xE0], U)))
 _STATS = -(1 << 31)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and the index of each value among them."""
+    found, at = np.unique(x, return_inverse=True)
+    return found, at.astype(np.int32)
+
+
 class Block:
     """The tokens of some documents: per token its document, the index of its word, of its context's word and of its bigram."""
 
@@ -43,21 +49,25 @@ class Block:
         tok = np.full(len(value) + self.n_docs, U(_END))
         tok[np.arange(len(value)) + doc] = value
         self.length = np.bincount(doc, minlength=self.n_docs) + 1
-        self.doc = np.repeat(np.arange(self.n_docs), self.length)
+        self.doc = np.repeat(np.arange(self.n_docs, dtype=np.int32), self.length)
         start = np.cumsum(self.length) - self.length
         ctx = np.concatenate([[U(_BEGIN)], tok[:-1]])
         ctx[start] = U(_BEGIN)
-        self.words, self.w = np.unique(tok, return_inverse=True)
-        self.pairs, self.p = np.unique(mix(ctx * U(0x9E3779B97F4A7C15) + tok), return_inverse=True)
+        self.words, self.w = _distinct(tok)
+        self.pairs, self.p = _distinct(mix(ctx * U(0x9E3779B97F4A7C15) + tok))
         # each word is followed by one token, so its context count is its own; the begin is seen as often as the end
-        self.c = np.concatenate([[0], self.w[:-1]])
+        self.c = np.concatenate([np.zeros(1, np.int32), self.w[:-1]])
         self.c[start] = np.searchsorted(self.words, U(_END))
 
 
-def _cells(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of the 2**bits ranges begins in sorted ``keys``, and the end."""
-    cuts = np.arange(1, 1 << bits, dtype=U) << U(64 - bits) if bits else np.zeros(0, U)
-    return np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
+def _packed(numbers: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, with that size in front."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes((kind.itemsize,)) + numbers.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def _bits(n_bytes: int) -> tuple[int, int]:
@@ -73,11 +83,12 @@ def _requests(t: pa.Table, bits: tuple[int, int]) -> pa.RecordBatch:
     at = t.column("block")[0].as_py()
     rows = []
     for order, keys, index in ((1, block.words, block.w), (2, block.pairs, block.p)):
-        counts = np.bincount(index[own], minlength=len(keys)).astype(np.int64)
-        cuts = _cells(keys, bits[order - 1])
-        for p in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[p], cuts[p + 1]
-            rows.append((order, p, at, keys[a:b].tobytes(), counts[a:b].tobytes()))
+        counts = np.bincount(index[own], minlength=len(keys))
+        shift = 64 - bits[order - 1]
+        of = (keys >> U(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(keys)]  # of the ranges that have keys
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows.append((order, int(of[a]), at, keys[a:b].tobytes(), _packed(counts[a:b])))
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["ord", "p", "block", "keys", "counts"])
 
@@ -88,7 +99,7 @@ _REPLY = "block int, ord int, p int, totals binary, dev binary, n bigint, v bigi
 def _replies(t: pa.Table) -> pa.RecordBatch:
     blocks = t.column("block").to_pylist()
     keys = [np.frombuffer(x, U) for x in t.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()]
+    counts = [_unpacked(x) for x in t.column("counts").to_pylist()]
     order, p = t.column("ord")[0].as_py(), t.column("p")[0].as_py()
     ends = np.cumsum([len(k) for k in keys])
     distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
@@ -101,7 +112,7 @@ def _replies(t: pa.Table) -> pa.RecordBatch:
     rows = []
     for i, b in enumerate(blocks):
         own = index[ends[i] - len(keys[i]) : ends[i]]
-        rows.append((b, order, p, total[own].tobytes(), dev[own].tobytes() if b < 0 else None, None, None, None, None))
+        rows.append((b, order, p, _packed(total[own]), _packed(dev[own]) if b < 0 else None, None, None, None, None))
     if order == 1:
         rows.append((_STATS, order, p, None, None, int(total.sum()), int((total > 0).sum()), int(dev.sum()), int((total > dev).sum())))
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
@@ -111,7 +122,7 @@ def _replies(t: pa.Table) -> pa.RecordBatch:
 def _answered(t: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     """The block's totals for its words and its bigrams, from the answers in key order."""
     rows = sorted(zip(t.column("ord").to_pylist(), t.column("p").to_pylist(), t.column(column).to_pylist(), strict=True), key=lambda r: r[:2])
-    return tuple(np.concatenate([np.frombuffer(r[2], np.int64) for r in rows if r[0] == k] or [np.zeros(0, np.int64)]) for k in (1, 2))
+    return tuple(np.concatenate([_unpacked(r[2]) for r in rows if r[0] == k] or [np.zeros(0, np.int64)]) for k in (1, 2))
 
 
 def _split(t: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -168,7 +179,10 @@ def lm_score(df: DataFrame, text: str = "text", key: str = "doc_id", block_bytes
     learned from it, if crc32 of its identifier as text is divisible by 10 (a null identifier counts as
     empty text). base_score is the log10 probability under word counts with 0.1 added, score that of the
     model. Null texts are empty and consist of the end alone. With nothing to learn from, each token has the
-    share that a vocabulary of one unknown word gives it, so both scores are 0. Other columns are ignored.
+    share that a vocabulary of one unknown word gives it, so both scores are 0. Words are told apart by 64 bits, so two
+    of 10^9 different words share their counts by chance with odds of about 1 to 40. Rows that repeat an identifier and a
+    text count as often as they stand there and get the same scores. A long text is one document of one block, whole. An
+    empty table gives no rows. Other columns are ignored.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType
@@ -181,8 +195,10 @@ def lm_score(df: DataFrame, text: str = "text", key: str = "doc_id", block_bytes
     block = F.when(F.col("r") == DEV, -1 - F.pmod(spread, F.lit(n_dev))).otherwise(F.pmod(spread, F.lit(n_blocks))).cast("int")
     docs = docs.withColumn("block", block)
     bits = _bits(size)
-    asked = grouped(docs, ["block"], "ord int, p int, block int, keys binary, counts binary", lambda t: _requests(t, bits))
-    answers = materialise(grouped(asked, ["ord", "p"], _REPLY, _replies), "lm-answers")
+    tasks = partitions_for(spark, size, TASK_BYTES)
+    asked = grouped(docs, ["block"], "ord int, p int, block int, keys binary, counts binary", lambda t: _requests(t, bits), tasks)
+    # a range's keys come from all blocks: at most 9 or 10 bytes for each of six bytes of text and order
+    answers = materialise(grouped(asked, ["ord", "p"], _REPLY, _replies, 2 * tasks), "lm-answers")
     n, v, n_d, v_rest = (x or 0 for x in answers.where(F.col("block") == _STATS).agg(*(F.sum(c) for c in ("n", "v", "n_dev", "v_rest"))).first())
     rows = answers.where(F.col("block") != _STATS).select("block", "ord", "p", "totals", "dev")
 
@@ -203,7 +219,7 @@ def lm_score(df: DataFrame, text: str = "text", key: str = "doc_id", block_bytes
         return pa.RecordBatch.from_arrays([pa.array(c.astype(d)) for c, d in zip(cols, (np.int64, np.int64, float, float), strict=True)], ["code", "tokens", "p1", "p2"])
 
     dev_docs = docs.where(F.col("r") == DEV)
-    cells = grouped(met(dev_docs, rows.where("block < 0")), ["block"], "code bigint, tokens bigint, p1 double, p2 double", gather)
+    cells = grouped(met(dev_docs, rows.where("block < 0")), ["block"], "code bigint, tokens bigint, p1 double, p2 double", gather, tasks)
     found = cells.groupBy("code").agg(F.sum("tokens").alias("n"), F.sum("p1").alias("p1"), F.sum("p2").alias("p2")).toPandas()
     table_ = np.stack([found.code.to_numpy() >> 32, found.n, found.p1 / found.n, found.p2 / found.n], 1).astype(float) if len(found) else np.zeros((0, 4))
     weights = learn_weights(table_[np.lexsort((table_[:, 3], table_[:, 2], table_[:, 0]))], 1 / (v_rest + 1))
@@ -228,7 +244,7 @@ def lm_score(df: DataFrame, text: str = "text", key: str = "doc_id", block_bytes
         return pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     more = T._parse_datatype_string("held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    out = grouped(met(docs, rows), ["block"], T.StructType([T.StructField("id", kind), *more.fields]), score)
+    out = grouped(met(docs, rows), ["block"], T.StructType([T.StructField("id", kind), *more.fields]), score, tasks)
     return out.withColumnRenamed("id", key)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import grouped, materialise, table
+from emberflow.llm.common import arrow_map, grouped, materialise, table
 from emberflow.llm.textkit import U, chain, mix, slices, text_buffer, words
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -221,7 +221,7 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
 
     longs = T.ArrayType(T.LongType())
     fields = [T.StructField("id", kind), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("n", T.LongType())]
-    rows = materialise(narrow.mapInArrow(embed, T.StructType([*fields, T.StructField("l1", longs), T.StructField("l2", longs)])), "join-rows")
+    rows = materialise(arrow_map(narrow, embed, T.StructType([*fields, T.StructField("l1", longs), T.StructField("l2", longs)])), "join-rows")
     # a class is a set; its first digest names it, and the second tells apart what the first would confuse
     classes = materialise(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("l1").alias("l1"), F.first("l2").alias("l2")), "join-classes")
     node = F.concat_ws(":", F.hex("d1"), F.hex("d2"))
@@ -241,7 +241,7 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
                 own = pa.array([f"{x & (1 << 64) - 1:X}:{y & (1 << 64) - 1:X}" for x, y in zip(d1.tolist(), d2.tolist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([own, b.column("want"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "want", "grams"])
 
-    sets = texts.mapInArrow(grams, "node string, want string, grams array<bigint>").where("node = want").dropDuplicates(["node"]).select("node", "grams")
+    sets = arrow_map(texts, grams, "node string, want string, grams array<bigint>").where("node = want").dropDuplicates(["node"]).select("node", "grams")
     sets = materialise(sets, "join-sets")
 
     def spanning(t: pa.Table) -> pa.RecordBatch | None:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import fresh, table
+from emberflow.llm.common import arrow_map, fresh, table
 from emberflow.llm.textkit import slices
 
 MARK = "▁"
@@ -266,7 +266,11 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", carry: list[str]
     new = ("token_ids", "n_tokens", "round_trip")
     carry = [c for c in (carry or df.columns) if c.lower() not in new]
     (body,) = fresh(carry, "body")
-    rows = df.select(*carry, F.col(text).alias(body))
+    quoted = [F.col(f"`{c}`") for c in carry]
+    if text in carry:  # the text goes to the workers once
+        body, rows = text, df.select(*quoted)
+    else:
+        rows = df.select(*quoted, F.col(text).alias(body))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, known = codec(path), {}
@@ -281,7 +285,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", carry: list[str]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), lists, pa.array(np.diff(off).astype(np.int64)), pa.array(same, pa.bool_())], [*carry, *new])
 
     more = T._parse_datatype_string("token_ids array<int>, n_tokens bigint, round_trip boolean")
-    return rows.mapInArrow(work, T.StructType([*rows.select(*carry).schema.fields, *more.fields]))
+    return arrow_map(rows, work, T.StructType([*(rows.schema[c] for c in carry), *more.fields]))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", carry: list[str] | None = None) -> DataFrame:
@@ -294,8 +298,8 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", carry: list[str
             out = [None if i is None else c.decode(i) for i in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in carry), pa.array(out, pa.string())], [*carry, "decoded_text"])
 
-    rows = df.select(*carry, ids)
-    return rows.mapInArrow(work, T.StructType([*rows.select(*carry).schema.fields, T.StructField("decoded_text", T.StringType())]))
+    rows = df.select(*(F.col(f"`{c}`") for c in [*carry, ids]))
+    return arrow_map(rows, work, T.StructType([*(rows.schema[c] for c in carry), T.StructField("decoded_text", T.StringType())]))
 
 
 def model_path() -> str:

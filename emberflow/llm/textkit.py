@@ -18,7 +18,7 @@ U = np.uint64
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U)
 LONG_WORD = 1024
 #: Sub-batches hold about so many bytes of text (and one text at least), which bounds a worker's memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def word_table(kind: str) -> np.ndarray:

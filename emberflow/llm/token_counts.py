@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.llm.common import table
+from emberflow.llm.common import arrow_map, table
 from emberflow.llm.textkit import slices
 
 #: Remembered chunks a worker, and the longest chunk that is remembered.
@@ -108,7 +108,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
                 texts = pc.fill_null(b.column("text"), "")
                 yield pa.RecordBatch.from_arrays([b.column("id"), pc.binary_length(texts).cast(pa.int64()), pa.array(count_tokens(texts.to_pylist(), path, known), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    return narrow.mapInArrow(measure, schema).select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return arrow_map(narrow, measure, schema).select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
