@@ -1,67 +1,99 @@
 """Line deduplication by winnowing over line hashes, in DataFrame functions only.
 
 A document is its sequence of non-blank lines. For each line, the guarantee window is the shortest run of
-lines from it on that holds ``min_words`` words; the line with the smallest hash in it is the window's
-fingerprint, so two documents that share such a run select the same fingerprint in it. Windows are grouped by
-their fingerprint and the digest of the window, those that stand more than once also by the digests of the
-window with each of the lines that follow it (up to the end of the next window, which is a match itself if all
-of them agree). Each group has its earliest occurrence, so an occurrence extends to the longest run that any
-earlier occurrence holds, and no pairs are made. To the left there is nothing to extend, as the window one line
-earlier would be a match itself. All but the earliest occurrence of a repeated run are deleted.
+lines from it on that holds ``min_words`` words; the window's fingerprint is the line with the smallest hash in
+it, the last one of equals. Neighbouring windows mostly have the same fingerprint, so the selected lines are a
+fraction of all; two documents that share a window select the same line in it. Selected lines are joined by their
+hash with their positions. Around those whose hash stands more than once, matches are extended: to the left
+through the windows that begin further up and have the same fingerprint, to the right line by line up to the end
+of the next window (which is a match with a fingerprint of its own if all lines agree). Every extent is compared
+as a whole, by 128 bits over the lines in it. Each extent has its earliest occurrence, so an occurrence extends to
+the longest run that any earlier occurrence holds, and no pairs are made. All but the earliest occurrence of a
+repeated run are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberflow.llm.common import fresh, materialise, table
+from emberflow.llm.common import discard, fresh, materialise, table
 
-#: Copies of the rows of repeated windows, so that the occurrences of one window spread over so many tasks.
-SALTS = 8
+#: A key is hot if more than LEAST_HOT rows and more than one row in HOT_KEYS have it; so at most HOT_KEYS keys are, and these are broadcast.
+LEAST_HOT, HOT_KEYS = 10_000, 1 << 16
 
 
-def repeated_runs(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = 50, salts: int = SALTS) -> DataFrame:
-    """The line ranges to delete, disjoint: (k, id, islands); ``k`` is xxhash64(key, text), islands are sorted (start, end) of 0-based lines."""
+def _both(*cols: Column | str) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes."""
+    return F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)
+
+
+def fingerprints(df: DataFrame, text: str, key: str, min_words: int) -> DataFrame:
+    """(k, id, f, at, windows): the selected lines of each document, by hash and 0-based line, with the windows they are selected in.
+
+    ``k`` is xxhash64(key, text). A window is (pos, end, d, e, rest): its first and last line, its digest, and the lines that
+    follow it up to the end of the next window.
+    """
     base = df.select(F.xxhash64(key, text).alias("k"), F.col(key).alias("id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
     words = F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    lines = base.select("k", "id", "pos", F.xxhash64(F.trim("line")).alias("h"), words.alias("w")).where("w > 0")
+    h, g = _both(F.trim("line"))
+    lines = base.select("k", "id", "pos", h.alias("h"), g.alias("g"), words.alias("w")).where("w > 0")
     # rows that repeat a key and a text are one document: its lines count once
     lines = lines.repartition("k", "id").withColumn("copy", F.row_number().over(Window.partitionBy("k", "id", "pos").orderBy("h"))).where("copy = 1").drop("copy")
     by_pos = Window.partitionBy("k", "id").orderBy("pos")
     placed = lines.withColumn("s", F.sum("w").over(by_pos) - F.col("w"))
     ahead = Window.partitionBy("k", "id").orderBy("s").rangeBetween(0, min_words - 1)
-    framed = placed.select("k", "id", "pos", "s", F.min("h").over(ahead).alias("f"), F.sum("w").over(ahead).alias("n"), F.collect_list(F.struct("h", "pos")).over(ahead).alias("run"))
+    line = F.struct("h", "g", "pos")
+    framed = placed.select("k", "id", "pos", "s", F.min("h").over(ahead).alias("f"), F.sum("w").over(ahead).alias("n"), F.collect_list(line).over(ahead).alias("run"))
     after = F.lead("run").over(Window.partitionBy("k", "id").orderBy("s"))
     rest = F.when(after.isNull() | (F.size(after) < F.size("run")), F.slice("run", 1, 0)).otherwise(F.slice(after, F.size("run"), F.size(after)))
     full = framed.select("k", "id", "pos", "f", "n", "run", rest.alias("rest")).where(F.col("n") >= min_words)
-    digest = F.xxhash64(F.transform("run", lambda x: x["h"]))
-    windows = full.select("k", "id", "pos", "f", digest.alias("d"), F.element_at("run", -1)["pos"].alias("end"), "rest")
+    at = F.element_at(F.filter("run", lambda x: x["h"] == F.col("f")), -1)["pos"]
+    d, e = _both(F.transform("run", lambda x: F.struct(x["h"], x["g"])))
+    window = F.struct("pos", F.element_at("run", -1)["pos"].alias("end"), d.alias("d"), e.alias("e"), "rest")
+    return full.select("k", "id", "f", at.alias("at"), window.alias("window")).groupBy("k", "id", "f", "at").agg(F.collect_list("window").alias("windows"))
+
+
+def _met(rows: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the row of ``found`` that equals them in ``by``; ``found`` tells in ``times`` how many rows that are.
+
+    Rows of hot keys meet theirs where they are; those of other keys are joined by a shuffle. Both tables are written ones.
+    """
+    most = max(LEAST_HOT, (found.agg(F.sum("times")).first()[0] or 0) // HOT_KEYS)
+    hot = found.where(F.col("times") > most)
+    near = rows.join(F.broadcast(hot), by)
+    far = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(found.where(F.col("times") <= most), by)
+    return near.select(*far.columns).unionByName(far)
+
+
+def repeated_runs(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = 50) -> DataFrame:
+    """The line ranges to delete, disjoint: (k, id, islands); ``k`` is xxhash64(key, text), islands are sorted (start, end) of 0-based lines."""
+    prints = materialise(fingerprints(df, text, key, min_words), "line-prints")
+    shared = materialise(prints.groupBy("f").agg(F.count("*").alias("times")).where("times > 1"), "line-shared")
     place = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("k").alias("c"), F.col("pos").alias("d"))
-    windows = materialise(windows.withColumn("place", place), "line-windows")
+    windows = _met(prints, shared, ["f"]).select("k", "id", F.inline("windows"))
     # digests of the window with its first 0, 1, 2... following lines: each has its own earliest occurrence
-    onward = F.aggregate("rest", F.array(F.col("d")), lambda a, x: F.concat(a, F.array(F.xxhash64(F.element_at(a, -1), x["h"]))))
-    shared = windows.groupBy("f", "d").agg(F.count("*").alias("times")).where("times > 1").select("f", "d")
-    again = _at_salt(windows, shared, ["f", "d"], salts).select("k", "id", "pos", "end", "place", "rest", F.posexplode(onward).alias("ext", "p"))
-    firsts = again.groupBy("p", "ext").agg(F.count("*").alias("times"), F.min("place").alias("first")).where("times > 1").drop("times")
-    later = _at_salt(again, firsts, ["p", "ext"], salts).where(F.col("place") > F.col("first"))
-    stop = F.when(F.col("ext") > 0, F.try_element_at("rest", F.col("ext"))["pos"]).otherwise(F.col("end"))
-    later = later.groupBy("k", "id", "pos").agg(F.max(stop).alias("end"))
-    spans = later.select("k", "id", "pos", "end")
+    onward = F.aggregate(
+        "rest", F.array(F.struct("d", "e")),
+        lambda a, x: F.concat(a, F.array(F.struct(*(c.alias(n) for c, n in zip(_both(F.element_at(a, -1)["d"], F.element_at(a, -1)["e"], x["h"], x["g"]), "de", strict=True))))),
+    )
+    extents = windows.select("k", "id", "pos", "end", place.alias("place"), F.col("rest.pos").alias("ends"), F.posexplode(onward).alias("ext", "both"))
+    stop = F.when(F.col("ext") > 0, F.try_element_at("ends", F.col("ext"))).otherwise(F.col("end"))
+    extents = materialise(extents.select("k", "id", "pos", stop.alias("end"), "place", "ext", "both.d", "both.e"), "line-extents")
+    firsts = extents.groupBy("d", "e", "ext").agg(F.count("*").alias("times"), F.min("place").alias("first")).where("times > 1")
+    firsts = materialise(firsts, "line-firsts")
+    later = _met(extents, firsts, ["d", "e", "ext"]).where(F.col("place") > F.col("first"))
+    spans = later.groupBy("k", "id", "pos").agg(F.max("end").alias("end"))
     before = Window.partitionBy("k", "id").orderBy("pos", "end")
     reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
     island = spans.withColumn("new", F.when(F.col("pos") <= reach + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     merged = island.groupBy("k", "id", "island").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
-    return merged.groupBy("k", "id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("islands"))
-
-
-def _at_salt(rows: DataFrame, found: DataFrame, by: list[str], salts: int) -> DataFrame:
-    """``rows`` with the row of ``found`` that equals them in ``by``; those of one key spread over ``salts`` tasks."""
-    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.hash("k", "pos"), F.lit(salts))).join(spread, [*by, "salt"]).drop("salt")
+    found = materialise(merged.groupBy("k", "id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("islands")), "line-islands")
+    discard(prints, shared, extents, firsts)
+    return found
 
 
-def line_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = 50, salts: int = SALTS) -> DataFrame:
+def line_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = 50) -> DataFrame:
     """``df`` with the later occurrences of repeated runs deleted from ``text``, and the columns n_lines and n_deleted.
 
     A run is consecutive non-blank lines, equal but for spaces at their ends, of ``min_words`` words or more
@@ -73,7 +105,7 @@ def line_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", min_words
     """
     names = [c for c in df.columns if c.lower() not in ("n_lines", "n_deleted")]
     k, own, gone, lines, i = fresh(df.columns, "k", "own", "gone", "lines", "i")
-    found = repeated_runs(df, text, key, min_words, salts).select(F.col("k").alias(k), F.col("id").alias(own), F.col("islands").alias(gone))
+    found = repeated_runs(df, text, key, min_words).select(F.col("k").alias(k), F.col("id").alias(own), F.col("islands").alias(gone))
     docs = df.select(*names).withColumn(k, F.xxhash64(key, text))
     joined = docs.join(found.withColumnRenamed(k, i), (docs[k] == F.col(i)) & docs[key].eqNullSafe(F.col(own)), "left")
     cut = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(F.col(text), "\n", -1)))
@@ -99,19 +131,16 @@ def oracle(min_words: int = 50) -> str:
 with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, unnest(string_split(text, chr(10))) as line from documents),
 n as (select doc_id, pos, trim(line) as h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as w from l),
 p as (select *, sum(w) over (partition by doc_id order by pos) - w as s, row_number() over (partition by doc_id order by pos) as o from n where w > 0),
-g as (select doc_id, pos, o, s, list(h) over ahead as run, max(o) over ahead as last, sum(w) over ahead as m from p
+a as (select doc_id, list(h order by pos) as h from p group by doc_id),
+g as (select doc_id, pos, o, s, max(o) over ahead as last, sum(w) over ahead as m from p
       window ahead as (partition by doc_id order by s range between current row and {min_words - 1} following)),
 u as (select *, lead(last) over (partition by doc_id order by o) as reach from g),
 f as (select * from u where m >= {min_words}),
-d as (select *, first_value(doc_id) over q as d0, first_value(o) over q as o0, first_value(last) over q as l0, first_value(reach) over q as r0 from f
-      window q as (partition by run order by doc_id, pos)),
-later as (select * from d where (doc_id, o) <> (d0, o0)),
-e as (select x.doc_id, x.o, x.last, coalesce(min(case when a.h is distinct from b.h then t.k end), greatest(coalesce(x.reach, x.last) - x.last, 0) + 1) - 1 as ext
-      from later x, lateral (select unnest(range(1, greatest(coalesce(x.reach, x.last) - x.last, 0) + 2)) as k) t
-      left join p a on a.doc_id = x.doc_id and a.o = x.last + t.k and x.last + t.k <= coalesce(x.reach, x.last)
-      left join p b on b.doc_id = x.d0 and b.o = x.l0 + t.k and x.l0 + t.k <= coalesce(x.r0, x.l0)
-      group by x.doc_id, x.o, x.last, x.reach),
-r as (select e.doc_id, a.pos as start, b.pos as stop from e join p a on a.doc_id = e.doc_id and a.o = e.o join p b on b.doc_id = e.doc_id and b.o = e.last + e.ext),
+x as (select f.doc_id, f.pos, f.o, t.e, list_slice(a.h, f.o, t.e) as run
+      from f join a using (doc_id), lateral (select unnest(range(f.last, greatest(coalesce(f.reach, f.last), f.last) + 1)) as e) t),
+d as (select *, first_value(doc_id) over q as d0, first_value(o) over q as o0 from x window q as (partition by run order by doc_id, pos)),
+e as (select doc_id, o, max(e) as e from d where (doc_id, o) <> (d0, o0) group by doc_id, o),
+r as (select e.doc_id, a.pos as start, b.pos as stop from e join p a on a.doc_id = e.doc_id and a.o = e.o join p b on b.doc_id = e.doc_id and b.o = e.e),
 z as (select distinct doc_id, unnest(range(start, stop + 1)) as pos from r),
 k as (select l.doc_id, count(*) as n_lines, count(z.pos) as n_deleted, coalesce(string_agg(case when z.pos is null then line end, chr(10) order by l.pos), '') as text
       from l left join z on z.doc_id = l.doc_id and z.pos = l.pos group by l.doc_id)

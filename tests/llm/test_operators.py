@@ -131,7 +131,7 @@ def test_decontaminate(spark, docs, plain):
 
 
 def brute_lines(rows, least):
-    """The later occurrences of windows and of what follows them, by comparison with the earliest window."""
+    """The text without the runs, from a window to the end of the next one at most, that any earlier place holds."""
     order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     lines, windows = {}, {}
     for d in order:
@@ -153,15 +153,10 @@ def brute_lines(rows, least):
 
     first, gone = {}, collections.defaultdict(set)
     for (d, i), j in windows.items():
-        first.setdefault(tuple(x[1] for x in lines[d][i : j + 1]), (d, i))
-    for (d, i), j in windows.items():
-        e, k = first[tuple(x[1] for x in lines[d][i : j + 1])]
-        if (e, k) == (d, i):
-            continue
-        a, b = j + 1, windows[(e, k)] + 1
-        while a <= reach(d, i) and b <= reach(e, k) and lines[d][a][1] == lines[e][b][1]:
-            a, b = a + 1, b + 1
-        gone[d].update(range(lines[d][i][0], lines[d][a - 1][0] + 1))
+        for e in range(j, max(j, reach(d, i)) + 1):
+            run = tuple(x[1] for x in lines[d][i : e + 1])
+            if first.setdefault(run, (d, i)) != (d, i):
+                gone[d].update(range(lines[d][i][0], lines[d][e][0] + 1))
     return {d: "\n".join(x for p, x in enumerate(d[1].split("\n")) if p not in gone[d]) for d in order}
 
 
