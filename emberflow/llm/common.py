@@ -17,6 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of an Arrow batch on its way to a worker, and of finished groups that a worker gathers into one batch.
 BATCH_BYTES = 4 << 20
+#: What makes a key hot, and how many keys can be.
+LEAST_HOT, HOT_KEYS = 10_000, 1 << 16
 #: Bytes that a task writes of a table between two steps, at most and roughly.
 WRITE_BYTES = 32 << 20
 _BATCH, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m")
@@ -83,6 +85,20 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(work, schema)
 
 
+def meet(rows: DataFrame, found: DataFrame, by: list[str], times: str = "times") -> DataFrame:
+    """``rows`` with the row of ``found`` that equals them in ``by``; ``times`` of ``found`` tells how many rows that are.
+
+    A key is hot if more than LEAST_HOT rows and more than one row in HOT_KEYS have it, so at most HOT_KEYS keys are. Rows
+    of hot keys meet theirs by a broadcast, where they are; those of other keys by a shuffle. Both tables should be written
+    ones, as each is read twice.
+    """
+    most = max(LEAST_HOT, (found.agg(F.sum(F.col(times).cast("double"))).first()[0] or 0) / HOT_KEYS)
+    hot = found.where(F.col(times) > most)
+    near = rows.join(F.broadcast(hot), by)
+    far = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(found.where(F.col(times) <= most), by)
+    return near.select(*far.columns).unionByName(far)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

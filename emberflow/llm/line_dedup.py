@@ -17,10 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberflow.llm.common import discard, fresh, materialise, table
-
-#: A key is hot if more than LEAST_HOT rows and more than one row in HOT_KEYS have it; so at most HOT_KEYS keys are, and these are broadcast.
-LEAST_HOT, HOT_KEYS = 10_000, 1 << 16
+from emberflow.llm.common import discard, fresh, materialise, meet, table
 
 
 def _both(*cols: Column | str) -> tuple[Column, Column]:
@@ -54,24 +51,13 @@ def fingerprints(df: DataFrame, text: str, key: str, min_words: int) -> DataFram
     return full.select("k", "id", "f", at.alias("at"), window.alias("window")).groupBy("k", "id", "f", "at").agg(F.collect_list("window").alias("windows"))
 
 
-def _met(rows: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` with the row of ``found`` that equals them in ``by``; ``found`` tells in ``times`` how many rows that are.
-
-    Rows of hot keys meet theirs where they are; those of other keys are joined by a shuffle. Both tables are written ones.
-    """
-    most = max(LEAST_HOT, (found.agg(F.sum("times")).first()[0] or 0) // HOT_KEYS)
-    hot = found.where(F.col("times") > most)
-    near = rows.join(F.broadcast(hot), by)
-    far = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(found.where(F.col("times") <= most), by)
-    return near.select(*far.columns).unionByName(far)
-
-
 def repeated_runs(df: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = 50) -> DataFrame:
     """The line ranges to delete, disjoint: (k, id, islands); ``k`` is xxhash64(key, text), islands are sorted (start, end) of 0-based lines."""
-    prints = materialise(fingerprints(df, text, key, min_words), "line-prints")
-    shared = materialise(prints.groupBy("f").agg(F.count("*").alias("times")).where("times > 1"), "line-shared")
+    n_rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    prints = materialise(fingerprints(df, text, key, min_words), "line-prints", size)
+    shared = materialise(prints.groupBy("f").agg(F.count("*").alias("times")).where("times > 1"), "line-shared", size // 8)
     place = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("k").alias("c"), F.col("pos").alias("d"))
-    windows = _met(prints, shared, ["f"]).select("k", "id", F.inline("windows"))
+    windows = meet(prints, shared, ["f"]).select("k", "id", F.inline("windows"))
     # digests of the window with its first 0, 1, 2... following lines: each has its own earliest occurrence
     onward = F.aggregate(
         "rest", F.array(F.struct("d", "e")),
@@ -79,16 +65,16 @@ def repeated_runs(df: DataFrame, text: str = "text", key: str = "doc_id", min_wo
     )
     extents = windows.select("k", "id", "pos", "end", place.alias("place"), F.col("rest.pos").alias("ends"), F.posexplode(onward).alias("ext", "both"))
     stop = F.when(F.col("ext") > 0, F.try_element_at("ends", F.col("ext"))).otherwise(F.col("end"))
-    extents = materialise(extents.select("k", "id", "pos", stop.alias("end"), "place", "ext", "both.d", "both.e"), "line-extents")
+    extents = materialise(extents.select("k", "id", "pos", stop.alias("end"), "place", "ext", "both.d", "both.e"), "line-extents", size)
     firsts = extents.groupBy("d", "e", "ext").agg(F.count("*").alias("times"), F.min("place").alias("first")).where("times > 1")
-    firsts = materialise(firsts, "line-firsts")
-    later = _met(extents, firsts, ["d", "e", "ext"]).where(F.col("place") > F.col("first"))
+    firsts = materialise(firsts, "line-firsts", size // 4)
+    later = meet(extents, firsts, ["d", "e", "ext"]).where(F.col("place") > F.col("first"))
     spans = later.groupBy("k", "id", "pos").agg(F.max("end").alias("end"))
     before = Window.partitionBy("k", "id").orderBy("pos", "end")
     reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
     island = spans.withColumn("new", F.when(F.col("pos") <= reach + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     merged = island.groupBy("k", "id", "island").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
-    found = materialise(merged.groupBy("k", "id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("islands")), "line-islands")
+    found = materialise(merged.groupBy("k", "id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("islands")), "line-islands", 128 * n_rows)
     discard(prints, shared, extents, firsts)
     return found
 
