@@ -17,6 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of an Arrow batch on its way to a worker, and of finished groups that a worker gathers into one batch.
 BATCH_BYTES = 4 << 20
+#: Spark removes the shuffle files of a query when it ends, instead of when the driver happens to collect its garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What makes a key hot, and how many keys can be.
 LEAST_HOT, HOT_KEYS = 10_000, 1 << 16
 #: Bytes that a task writes of a table between two steps, at most and roughly.
@@ -58,7 +60,12 @@ def materialise(df: DataFrame, tag: str, n_bytes: int | None = None) -> DataFram
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     if n_bytes is not None:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // WRITE_BYTES)))
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -119,12 +119,9 @@ def paths(sets: list[np.ndarray], threshold: float, depth: int, runs: range) ->
     return [sorted(set(p)) for p in out]
 
 
-def children(sets: list[np.ndarray], leaves: np.ndarray, threshold: float, runs: int = SPLIT_RUNS) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, bucket) of the buckets that each set reaches when its bucket of ``leaves`` is split in ``runs`` runs."""
-    if not len(sets):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    token = tokens(sets)
-    found = [descend(token, np.arange(len(sets)), mix(leaves.view(U) ^ mix(np.full(1, r + 1, U))), threshold) for r in range(runs)]
+def children(token: np.ndarray, leaves: np.ndarray, threshold: float, runs: int = SPLIT_RUNS) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, bucket) of the buckets that each set, given by its tokens, reaches when its bucket of ``leaves`` is split in ``runs`` runs."""
+    found = [descend(token, np.arange(len(token)), mix(leaves.view(U) ^ mix(np.full(1, r + 1, U))), threshold) for r in range(runs)]
     both = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1].view(np.int64) for f in found])], 1), axis=0)
     return both[:, 0], both[:, 1]
 
@@ -261,7 +258,9 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
     nodes = classes.select(node.alias("node"), "rep", "size", "n", "l1", "l2")
     leaves = nodes.select("node", "n", F.explode("l1").alias("leaf"), F.lit(0).alias("round")).unionByName(nodes.select("node", "n", F.explode("l2").alias("leaf"), F.lit(1).alias("round")))
     shared = materialise(_buckets(leaves, "leaf", "round"), "join-leaves", wide)
-    wanted = materialise(leaves.join(shared.select("leaf"), "leaf", "left_semi").select("node").distinct(), "join-wanted", few)
+    placed = meet(leaves.drop("round"), shared, ["leaf"], "members").select("node", "n", "leaf", "members", "total", "round")
+    placed = materialise(placed, "join-placed", wide)
+    wanted = materialise(placed.select("node").distinct(), "join-wanted", few)
     reps = nodes.join(wanted, "node").select(F.col("rep"), F.col("node").alias("want"))
     texts = narrow.join(reps, narrow.id.eqNullSafe(reps.rep)).select("text", "want")
 
@@ -276,10 +275,19 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
     sets = arrow_map(texts, grams, "node string, want string, grams array<bigint>").where("node = want").dropDuplicates(["node"]).select("node", "grams")
     sets = materialise(sets, "join-sets", 2 * size)
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = tokens(_sets_of(pa.Table.from_batches([b]))) if b.num_rows else np.zeros((0, T_COORDS), U)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([t.view(np.int64) for t in own], longs_)], ["node", "token"])
+
+    longs_ = pa.list_(pa.int64())
+    sketches: list[DataFrame] = []  # written when a bucket is first split
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "node"):
-                at, child = children(_sets_of(pa.Table.from_batches([b])), np.asarray(b.column("leaf")), threshold)
+                token = np.stack(_sets_of(pa.Table.from_batches([b]), "token"))
+                at, child = children(token, np.asarray(b.column("leaf")), threshold)
                 own = b.select(["node", "n", "leaf"]).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(child)], ["node", "n", "parent", "leaf"])
 
@@ -290,7 +298,10 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
         while now.where(over).limit(1).count():
             done.append(now.where(~over))
             big = now.where(over)
-            parts = arrow_map(big.join(sets, "node").select("node", "n", "leaf", "grams"), split, "node string, n bigint, parent bigint, leaf bigint")
+            if not sketches:
+                sketches.append(materialise(arrow_map(sets, sketch, "node string, token array<bigint>"), "join-sketch", few + 8 * T_COORDS * n_rows))
+            told = big.join(sketches[0], "node").select("node", "n", "leaf", "token")
+            parts = arrow_map(told, split, "node string, n bigint, parent bigint, leaf bigint")
             parts = materialise(parts, "join-parts", wide)
             found = materialise(_buckets(parts, "leaf", "parent"), "join-part-leaves", wide)
             work = found.groupBy("parent").agg(F.sum(F.pow("members", F.lit(2))).alias("work"))
@@ -317,13 +328,12 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
         return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.string()), pa.array([e[1] for e in edges], pa.string())], ["a", "b"]) if edges else None
 
     def edges_of(round_: int, comp: DataFrame | None) -> DataFrame:
-        open_ = shared.where(F.col("round") == round_).drop("round")
-        own = meet(nodes.select("node", "n", F.explode(f"l{round_ + 1}").alias("leaf")), open_, ["leaf"], "members")
+        own = placed.where(F.col("round") == round_).drop("round")
         if comp is not None:
             own = materialise(own.join(comp.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "join-round", wide)
             closed = own.groupBy("leaf").agg((F.min("comp") < F.max("comp")).alias("open"), F.count("*").alias("times")).where("open").select("leaf", "times")
             own = meet(own.drop("comp"), materialise(closed, "join-open", wide), ["leaf"])
-        own = materialise(own.select("node", "n", "leaf", "members", "total"), "join-members", wide)
+            own = materialise(own.select("node", "n", "leaf", "members", "total"), "join-members", wide)
         paired = _pairs_of_blocks(small_buckets(own).select("leaf", "node", "members", "total"))
         return grouped(paired.join(sets, "node").select("leaf", "i", "j", "node", "grams"), ["leaf", "i", "j"], "a string, b string", spanning)
 
@@ -354,7 +364,7 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
     big = meet(comp, named, ["label"]).join(links, "node", "left").select("node", "class_id", "rows", F.coalesce("links", F.lit(0)).alias("links"))
     all_classes = nodes.join(big, "node", "left").select("node", "rep", "size", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("rows", "size").alias("rows"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
     all_classes = materialise(all_classes, "join-named", few)
-    discard(classes, shared, wanted, sets, found, comp, members, stats, named)
+    discard(classes, shared, placed, wanted, sets, *sketches, found, comp, members, stats, named)
     keyed = rows.select("id", F.when(F.col("n") > 0, node).alias("node"))
     out = keyed.join(all_classes, "node", "left")
     return out.select(F.col("id").alias(key), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("rows", F.lit(1)).cast("bigint").alias("class_size"))

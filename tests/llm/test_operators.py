@@ -181,7 +181,8 @@ def grams(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_ngram_join(spark, docs, plain):
+@pytest.mark.parametrize(("block_sets", "split_share"), [(500, 0.5), (4, 0.5), (4, 0.9)])  # whole buckets, those too alike in blocks, and all that split
+def test_ngram_join(spark, docs, plain, monkeypatch, block_sets, split_share):
     rnd = random.Random(2)
     near = []
     for b in range(6):
@@ -193,6 +194,8 @@ def test_ngram_join(spark, docs, plain):
             near.append((5000 + 100 * b + i, " ".join(own)))
     rows = plain + near
     df = docs.select("doc_id", "text", "n", "h").unionByName(spark.createDataFrame(near, "doc_id bigint, text string"), allowMissingColumns=True)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block_sets)
+    monkeypatch.setattr(ngram_join, "SPLIT_SHARE", split_share)
     got = ngram_join.ngram_join(df).collect()
     sets = [grams(t) for _, t in rows]
     links = [0] * len(rows)
