@@ -26,6 +26,8 @@ from emberflow.llm.textkit import slices
 CACHE, CACHED_CHARS = 1_000_000, 64
 #: A chunk that occurs so often in a slice is counted by itself and remembered.
 OFTEN = 2
+#: Characters of a long text, and of all texts, that go to the library in one call, roughly.
+PIECE, CALL = 1 << 18, 1 << 21
 #: White space for Python's split, but not for the tokenizer's pattern.
 _ODD = re.compile("[\x1c-\x1f]")
 _loaded: dict[str, tuple] = {}
@@ -63,7 +65,7 @@ def count_tokens(texts: list[str], path: str, known: dict[str, int]) -> list[int
     """The tokens of each text; ``known`` is the worker's memory of frequent chunks.
 
     Chunks that occur OFTEN times among these texts are counted once and remembered; the rest of each text
-    goes to the library in one piece, joined by single spaces.
+    goes to the library joined by single spaces, long ones in bounded pieces that are cut at such a space.
     """
     count, special, apart = _counter(path)
     if not apart:
@@ -85,18 +87,46 @@ def count_tokens(texts: list[str], path: str, known: dict[str, int]) -> list[int
         if p:
             out[i] = sum(get(c, 0) for c in p)
             rest[i] = " ".join(c for c in new[i] if c not in known)
-    left = [i for i, t in enumerate(rest) if t]
-    for i, n in zip(left, count([rest[i] for i in left]), strict=True):
-        out[i] += n
+    owners, pieces = [], []
+    for i, t in enumerate(rest):
+        for piece in [t] if i in at else _pieces(t):
+            owners.append(i)
+            pieces.append(piece)
+    for a, b in _calls(pieces):
+        for i, n in zip(owners[a:b], count(pieces[a:b]), strict=True):
+            out[i] += n
     return out
 
 
+def _pieces(text: str) -> list[str]:
+    """``text`` cut at spaces into pieces of PIECE characters, longer only where it has no space."""
+    out, begin = [], 0
+    while begin < len(text):
+        end = text.find(" ", begin + PIECE)
+        end = len(text) if end < 0 else end
+        out.append(text[begin:end])
+        begin = end + 1
+    return out
+
+
+def _calls(pieces: list[str]) -> list[tuple[int, int]]:
+    """Ranges of pieces for one call of the library each, of about CALL characters."""
+    out, begin, size = [], 0, 0
+    for k, t in enumerate(pieces):
+        size += len(t)
+        if size >= CALL:
+            out.append((begin, k + 1))
+            begin, size = k + 1, 0
+    return [*out, (begin, len(pieces))] if begin < len(pieces) else out
+
+
 def token_counts(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", limit: int = 2048) -> DataFrame:
     """(``key``, n_bytes, n_tokens, over_limit) of each row: UTF-8 bytes, tokens of the whole text without
     added special tokens, truncation or padding, and whether there are more than ``limit``.
 
     Null and empty texts have 0 of both. Special strings inside texts count as the library takes them by
-    default. Rows keep their identifiers, null or repeated; other columns are ignored. No shuffle.
+    default. Rows keep their identifiers, null or repeated; other columns are ignored. An empty table gives no rows. No
+    shuffle.
     """
     narrow = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("id", narrow.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
@@ -104,7 +134,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for whole in batches:
-            for b in slices(whole, "text", 16 << 20):
+            for b in slices(whole, "text", 4 << 20):
                 texts = pc.fill_null(b.column("text"), "")
                 yield pa.RecordBatch.from_arrays([b.column("id"), pc.binary_length(texts).cast(pa.int64()), pa.array(count_tokens(texts.to_pylist(), path, known), pa.int64())], ["id", "n_bytes", "n_tokens"])
 

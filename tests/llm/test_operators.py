@@ -581,3 +581,101 @@ def test_language_of_pages_by_markup_and_address(spark):
     assert (got[1], got[2]) == ("de", "en")
     odds = {r.page_id: r.language_confidence for r in language_id.identify_pages(df, model).collect()}
     assert got[3] != got[4] or odds[3] != odds[4]
+
+
+def test_known_licence_texts_are_found_whole(spark):
+    rows = [(i, t.replace("<year>", "2020").replace("<copyright holders>", "Some One").replace("\n\n", "\n  \n").upper()) for i, t in enumerate(license_scan.TEXTS.values())]
+    rows += [(100, rows[0][1] + "\nand more"), (101, "my own licence")]
+    own = spark.createDataFrame([("Own-1.0", "My own license"), ("None", None)], "license_id string, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id int, text string"), known=license_scan.digests_of(own)).collect()}
+    assert got == {**dict(enumerate(license_scan.TEXTS)), 100: None, 101: "Own-1.0"}
+
+
+def test_long_texts_are_counted_in_bounded_calls(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizers.path("word_bpe_49k.json"), random.Random(7)
+    monkeypatch.setattr(token_counts, "PIECE", 50)
+    monkeypatch.setattr(token_counts, "CALL", 120)
+    monkeypatch.setattr(token_counts, "OFTEN", 10**6)
+    texts = ["", " ", "x" * 500, " ".join(f"w{rnd.random()}" for _ in range(400)), "\n".join(prose(3, rnd) for _ in range(200))]
+    sizes = []
+    real = token_counts._counter(path)
+    monkeypatch.setitem(token_counts._loaded, path, (lambda t: sizes.append(sum(map(len, t))) or real[0](t), *real[1:]))
+    model = Tokenizer.from_file(path)
+    assert token_counts.count_tokens(texts, path, {}) == [len(model.encode(t, add_special_tokens=False)) for t in texts]
+    assert max(sizes) <= 500 + 120
+
+
+def test_near_duplicate_links_of_a_fiftieth_against_all(spark):
+    """Recall against brute force: the documents whose identifier 50 divides, against all, on the test table."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).collect()}
+    sets = {r.doc_id: grams(r.text) for r in rows}
+    for i in (i for i in sets if i % 50 == 0):
+        near = sum(1 for j, s in sets.items() if j != i and sets[i] and len(s & sets[i]) >= 0.8 * len(s | sets[i]) > 0)
+        assert got[i] == near
+
+
+def test_language_accuracy_on_held_out_rows(spark):
+    """Fitted on even identifiers, judged on odd ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    model = language_id.fit(docs.where("doc_id % 2 = 0"))
+    got = language_id.identify(docs.where("doc_id % 2 = 1"), model, host=F.col("source")).where("language_accepted").select("lang", "language").collect()
+    assert len(got) > 300 and sum(r.lang == r.language for r in got) >= 0.97 * len(got)
+
+
+def test_likelihoods_by_hand():
+    """Trigram likelihoods, with each letter trigram looked up by itself."""
+    import numpy as np
+    import pyarrow as pa
+    from emberflow.llm.textkit import text_buffer
+
+    rng = np.random.default_rng(3)
+    model = language_id.LanguageModel(("aa", "bb", "und"), rng.normal(size=(language_id.CELLS, 3)))
+    texts = ["", "ab", "Abc def", "  a ", "x9y zzz", "naïve Ünï", "a b c"]
+    data, off = text_buffer(pa.array(texts))
+    like, _ = model.likelihoods(data, off)
+    for t, row in zip(texts, like, strict=True):
+        raw = bytes(x + 32 if 65 <= x <= 90 else x for x in t.encode())
+        letters = [x if 97 <= x <= 122 or x >= 128 else 32 for x in raw]
+        want = np.zeros(3)
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            if (a, b, c).count(32) < 2:
+                k = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+                want += model.logp[(k ^ (k >> 15)) % language_id.CELLS]
+        assert np.allclose(row, want)
+
+
+def test_mixture_weights_by_hand():
+    """One round of expectation-maximisation, written out, leaves the learned weights where they are."""
+    rnd = random.Random(9)
+    cells = [(rnd.randint(0, 6), rnd.randint(1, 400), 10 ** -rnd.uniform(1, 5), 10 ** -rnd.uniform(0, 4)) for _ in range(200)]
+    import numpy as np
+
+    floor, prior = 1e-6, 50.0
+    learned = lm_score.learn_weights(np.array(cells, float), floor, rounds=3000)
+    share, total = collections.defaultdict(lambda: [0.0, 0.0, 0.0]), [0.0, 0.0, 0.0]
+    for b, n, p1, p2 in cells:
+        parts = [learned[b][0] * p2 * (b > 0), learned[b][1] * p1, learned[b][2] * floor]
+        for k in range(3):
+            share[b][k] += n * parts[k] / sum(parts)
+            total[k] += n * parts[k] / sum(parts)
+    for b in range(1, 7):
+        for k in range(3):
+            want = (share[b][k] + prior * total[k] / sum(total)) / (sum(share[b]) + prior)
+            assert math.isclose(learned[b][k], want, rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_stages_take_dotted_names_and_no_labels(spark, tmp_path):
+    from emberflow.llm import stages
+
+    spark.createDataFrame([(1, "nothing of this")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rnd = random.Random(1)
+    rows = [(i, prose(60, rnd), None, "s", 5, i, "t") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` int, `c 0` string")
+    for stage in (stages.language_stage, stages.line_stage, stages.near_duplicate_stage, stages.benchmark_stage, stages.encode_stage):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[:7] == docs.columns
+        assert sorted(r[5] for r in out.collect()) == list(range(6))
