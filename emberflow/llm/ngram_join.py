@@ -254,7 +254,7 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
     # a class is a set; its first digest names it, and the second tells apart what the first would confuse
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("l1").alias("l1"), F.first("l2").alias("l2"))
     classes = materialise(classes, "join-classes", wide)
-    node = F.concat_ws(":", F.hex("d1"), F.hex("d2"))
+    node = F.unhex(F.concat(*(F.lpad(F.hex(d), 16, "0") for d in ("d1", "d2"))))  # 16 bytes
     nodes = classes.select(node.alias("node"), "rep", "size", "n", "l1", "l2")
     leaves = nodes.select("node", "n", F.explode("l1").alias("leaf"), F.lit(0).alias("round")).unionByName(nodes.select("node", "n", F.explode("l2").alias("leaf"), F.lit(1).alias("round")))
     shared = materialise(_buckets(leaves, "leaf", "round"), "join-leaves", wide)
@@ -269,10 +269,10 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
             for b in slices(whole, "text"):
                 sets = shingle_sets(*text_buffer(b.column("text")), width)
                 d1, d2 = digests(sets)
-                own = pa.array([f"{x & (1 << 64) - 1:X}:{y & (1 << 64) - 1:X}" for x, y in zip(d1.tolist(), d2.tolist(), strict=True)], pa.string())
+                own = pa.array([x.tobytes() for x in np.stack([d1, d2], 1).byteswap()], pa.binary())
                 yield pa.RecordBatch.from_arrays([own, b.column("want"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "want", "grams"])
 
-    sets = arrow_map(texts, grams, "node string, want string, grams array<bigint>").where("node = want").dropDuplicates(["node"]).select("node", "grams")
+    sets = arrow_map(texts, grams, "node binary, want binary, grams array<bigint>").where("node = want").dropDuplicates(["node"]).select("node", "grams")
     sets = materialise(sets, "join-sets", 2 * size)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "node"):
+            for b in slices(whole, "node", 1 << 15):  # 2,048 sets
                 token = np.stack(_sets_of(pa.Table.from_batches([b]), "token"))
                 at, child = children(token, np.asarray(b.column("leaf")), threshold)
                 own = b.select(["node", "n", "leaf"]).take(pa.array(at))
@@ -299,9 +299,9 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
             done.append(now.where(~over))
             big = now.where(over)
             if not sketches:
-                sketches.append(materialise(arrow_map(sets, sketch, "node string, token array<bigint>"), "join-sketch", few + 8 * T_COORDS * n_rows))
+                sketches.append(materialise(arrow_map(sets, sketch, "node binary, token array<bigint>"), "join-sketch", few + 8 * T_COORDS * n_rows))
             told = big.join(sketches[0], "node").select("node", "n", "leaf", "token")
-            parts = arrow_map(told, split, "node string, n bigint, parent bigint, leaf bigint")
+            parts = arrow_map(told, split, "node binary, n bigint, parent bigint, leaf bigint")
             parts = materialise(parts, "join-parts", wide)
             found = materialise(_buckets(parts, "leaf", "parent"), "join-part-leaves", wide)
             work = found.groupBy("parent").agg(F.sum(F.pow("members", F.lit(2))).alias("work"))
@@ -325,7 +325,7 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
             return None
         root = roots(linked(_sets_of(t), threshold))
         edges = [(names[i], names[r]) for i, r in enumerate(root.tolist()) if r != i]
-        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.string()), pa.array([e[1] for e in edges], pa.string())], ["a", "b"]) if edges else None
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], ["a", "b"]) if edges else None
 
     def edges_of(round_: int, comp: DataFrame | None) -> DataFrame:
         own = placed.where(F.col("round") == round_).drop("round")
@@ -335,7 +335,7 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
             own = meet(own.drop("comp"), materialise(closed, "join-open", wide), ["leaf"])
             own = materialise(own.select("node", "n", "leaf", "members", "total"), "join-members", wide)
         paired = _pairs_of_blocks(small_buckets(own).select("leaf", "node", "members", "total"))
-        return grouped(paired.join(sets, "node").select("leaf", "i", "j", "node", "grams"), ["leaf", "i", "j"], "a string, b string", spanning)
+        return grouped(paired.join(sets, "node").select("leaf", "i", "j", "node", "grams"), ["leaf", "i", "j"], "a binary, b binary", spanning)
 
     found = materialise(edges_of(0, None), "join-found", few)
     if len(later):
@@ -358,7 +358,7 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
         return pa.RecordBatch.from_arrays([t.column("node").combine_chunks(), pa.array(links.astype(np.int64))], ["node", "links"])
 
     paired = _pairs_of_blocks(inside).join(sets, "node").select("label", "i", "j", "node", "block", "size", "grams")
-    links = grouped(paired, ["label", "i", "j"], "node string, links bigint", count).groupBy("node").agg(F.sum("links").alias("links"))
+    links = grouped(paired, ["label", "i", "j"], "node binary, links bigint", count).groupBy("node").agg(F.sum("links").alias("links"))
     named = members.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("size").alias("rows"), F.count("*").alias("times"))
     named = materialise(named, "join-names", few)
     big = meet(comp, named, ["label"]).join(links, "node", "left").select("node", "class_id", "rows", F.coalesce("links", F.lit(0)).alias("links"))
@@ -372,9 +372,8 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
 
 def _buckets(members: DataFrame, leaf: str, order: str) -> DataFrame:
     """(leaf, order, members, total) of the buckets of two members or more; of those with the same members one, the first by ``order``."""
-    of = F.xxhash64("node"), F.xxhash64(F.lit(1), "node")
-    every = members.groupBy(leaf).agg(F.min(order).alias(order), F.count("*").alias("members"), F.sum("n").alias("total"), *(F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(of)))
-    one = every.where("members > 1").groupBy("members", "total", "x0", "x1").agg(F.min(F.struct(order, leaf)).alias("one"))
+    every = members.groupBy(leaf).agg(F.min(order).alias(order), F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("who"))
+    one = every.where("members > 1").groupBy("members", "total", "who").agg(F.min(F.struct(order, leaf)).alias("one"))
     return one.select(f"one.{leaf}", f"one.{order}", "members", "total")
 
 

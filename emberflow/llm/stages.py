@@ -48,12 +48,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     plain, names, at = _numbered(docs)
     doc_id = F.col(at["doc_id"])
     key = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.xxhash64(at["text"]).alias("hash"))
-    keyed = plain.withColumn("key", key)
+    kind = f"struct<none: boolean, id: {plain.schema[at['doc_id']].dataType.simpleString()}, hash: bigint>"
+    keyed = plain.withColumn("key", key.cast(kind))  # fields may be null, as those read again may, so both sides are dealt alike
     found = ngram_join(keyed.select("key", at["text"]), at["text"], "key")
     kept = found.where(F.col("key") == F.col("class_id")).select("key").distinct()
     content = F.xxhash64(*(c for c in names if "map<" not in plain.schema[c].dataType.simpleString()))
-    only = keyed.join(kept, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct(*names), content).alias("row"))
-    return only.select("row.*").toDF(*docs.columns)
+    only = keyed.groupBy("key").agg(F.min_by(F.struct(*names), content).alias("row"))  # the one shuffle of whole rows
+    return only.join(kept, "key", "left_semi").select("row.*").toDF(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
