@@ -36,6 +36,8 @@ T_COORDS = 64
 FIRST_RUNS = 4
 #: Shingles and sets of a block; two blocks are compared in one worker.
 BLOCK_SHINGLES, BLOCK_SETS = 500_000, 500
+#: Bytes of a shingle in an exchange: among 10,000 shingles of either text two differ in none of these bits by chance once in 10^6 pairs.
+PACKED = 6
 #: Runs of a further split of a bucket, and the share of its pairs that all its parts may have together for the split to be worth it.
 SPLIT_RUNS, SPLIT_SHARE = 4, 0.5
 _A = mix(np.arange(1, T_COORDS + 1).astype(U)) | U(1)
@@ -188,13 +190,20 @@ def roots(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _sets_of(t: pa.Table, name: str = "grams") -> list[np.ndarray]:
-    col = t.column(name).combine_chunks()
-    if isinstance(col, pa.ChunkedArray):
-        col = pa.concat_arrays(col.chunks)
-    flat = np.asarray(col.flatten().to_numpy(zero_copy_only=False)).view(U)
-    ends = np.concatenate([[0], np.cumsum(np.asarray(col.value_lengths().to_numpy(zero_copy_only=False), np.int64))])
-    return [flat[ends[i] : ends[i + 1]] for i in range(len(col))]
+def _packed(sets: list[np.ndarray]) -> pa.Array:
+    """Sets in PACKED bytes a shingle, by which shingles are told apart when sets are compared."""
+    small = (np.unique(s & U((1 << 8 * PACKED) - 1)) for s in sets)
+    return pa.array([np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :PACKED]).tobytes() for s in small], pa.binary())
+
+
+def _sets_of(t: pa.Table) -> list[np.ndarray]:
+    """The sets that ``_packed`` made, from the column ``grams``."""
+    out = []
+    for x in t.column("grams").to_pylist():
+        wide = np.zeros((len(x) // PACKED, 8), np.uint8)
+        wide[:, :PACKED] = np.frombuffer(x, np.uint8).reshape(-1, PACKED)
+        out.append(wide.view("<u8").ravel())
+    return out
 
 
 def components(edges: DataFrame, n_bytes: int | None = None) -> DataFrame:
@@ -270,9 +279,9 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
                 sets = shingle_sets(*text_buffer(b.column("text")), width)
                 d1, d2 = digests(sets)
                 own = pa.array([x.tobytes() for x in np.stack([d1, d2], 1).byteswap()], pa.binary())
-                yield pa.RecordBatch.from_arrays([own, b.column("want"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "want", "grams"])
+                yield pa.RecordBatch.from_arrays([own, b.column("want"), _packed(sets)], ["node", "want", "grams"])
 
-    sets = arrow_map(texts, grams, "node binary, want binary, grams array<bigint>").where("node = want").dropDuplicates(["node"]).select("node", "grams")
+    sets = arrow_map(texts, grams, "node binary, want binary, grams binary").where("node = want").dropDuplicates(["node"]).select("node", "grams")
     sets = materialise(sets, "join-sets", 2 * size)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +295,7 @@ def ngram_join(df: DataFrame, text: str = "text", key: str = "doc_id", threshold
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "node", 1 << 15):  # 2,048 sets
-                token = np.stack(_sets_of(pa.Table.from_batches([b]), "token"))
+                token = np.asarray(b.column("token").flatten()).view(U).reshape(-1, T_COORDS)
                 at, child = children(token, np.asarray(b.column("leaf")), threshold)
                 own = b.select(["node", "n", "leaf"]).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(child)], ["node", "n", "parent", "leaf"])
