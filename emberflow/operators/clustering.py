@@ -25,7 +25,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local[") and context.master != "local":
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="emberflow-checkpoint-")
         context.setCheckpointDir(folder)
@@ -170,20 +170,24 @@ def complete_linkage(xy: np.ndarray, diameter: float) -> np.ndarray:
 def _linked(pdf: pd.DataFrame, diameter: float, least: int) -> pd.DataFrame:
     pdf = pdf.sort_values("key", kind="stable")
     cut = complete_linkage(pdf[["x", "y"]].to_numpy(), diameter)
-    size = np.bincount(cut)[cut]
-    return pd.DataFrame({"key": pdf["key"], "component": pdf["component"], "part": np.where(size >= least, cut, -1)})
+    size = np.bincount(cut, pdf["n"].to_numpy())[cut]
+    return pd.DataFrame({"place": pdf["key"], "component": pdf["component"], "part": np.where(size >= least, cut, -1)})
 
 
 def site_members(events: DataFrame, diameter_km: float, min_events: int) -> DataFrame:
-    """(key, component, part) of events (event_id, latitude, longitude); part -1 is no site.
+    """(key, component, part) of events (event_id, latitude, longitude); part -1 is no site, events without a place have no row.
 
-    Components at the same distance hold every complete-linkage cluster whole, so each is cut by itself.
+    Events at one place merge first, at distance 0, so places are linked, by their number of events, not events. Components
+    at the same distance hold every complete-linkage cluster whole, so each is cut by itself.
     """
-    flat = checkpointed(scaled(events.select(F.col("event_id").alias("key"), "latitude", "longitude"), diameter_km))
-    comp = components(flat, neighbours(flat, "key", ("x", "y")))
-    sized = flat.join(comp, "key").select("key", "component", (F.col("x") * diameter_km).alias("x"), (F.col("y") * diameter_km).alias("y"))
-    big = sized.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where(F.col("n") >= min_events).drop("n")
-    kind, of = events.schema["event_id"].dataType.simpleString(), f"key {{0}}, component {{0}}, part bigint"
-    return big.groupBy("component").applyInPandas(lambda pdf: _linked(pdf, diameter_km, min_events), of.format(kind))
-
-
+    flat = scaled(events.select(F.col("event_id").alias("key"), "latitude", "longitude"), diameter_km)
+    places = flat.where("latitude is not null and longitude is not null").groupBy("latitude", "longitude")
+    places = checkpointed(places.agg(F.min("key").alias("key"), F.count("*").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")))
+    comp = components(places, neighbours(places, "key", ("x", "y")))
+    sized = places.join(comp, "key").select("key", "component", "n", (F.col("x") * diameter_km).alias("x"), (F.col("y") * diameter_km).alias("y"))
+    big = sized.groupBy("component").agg(F.sum("n").alias("of")).where(F.col("of") >= min_events).select("component")
+    kind = events.schema["event_id"].dataType.simpleString()
+    schema = f"place {kind}, component {kind}, part bigint"
+    parts = sized.join(big, "component", "left_semi").groupBy("component").applyInPandas(lambda pdf: _linked(pdf, diameter_km, min_events), schema)
+    own = places.select("latitude", "longitude", F.col("key").alias("place")).join(parts, "place")
+    return events.select(F.col("event_id").alias("key"), "latitude", "longitude").join(own, ["latitude", "longitude"]).select("key", "component", "part")

@@ -20,13 +20,19 @@ VEGETATION_CODES = (10, 20, 30, 40, 90, 95, 100)
 
 
 def segments(parts: Column) -> Column:
-    """For each part an array of its segments (a1, o1, a2, o2) and whether it is a ring; single points are one segment."""
+    """For each part an array of its segments (a1, o1, a2, o2, closing) and whether it is a ring; single points are one segment.
+
+    A ring's ends may lie apart: the leg between them closes it, which counts for what is inside but has no distance.
+    """
 
     def of(p: Column) -> Column:
         first, last, n = F.element_at(p, 1), F.element_at(p, -1), F.size(p)
-        legs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.element_at(p, i)["lat"].alias("a1"), F.element_at(p, i)["lon"].alias("o1"), F.element_at(p, F.least(i + 1, n))["lat"].alias("a2"), F.element_at(p, F.least(i + 1, n))["lon"].alias("o2")))
+        leg = lambda v, w, closing: F.struct(v["lat"].alias("a1"), v["lon"].alias("o1"), w["lat"].alias("a2"), w["lon"].alias("o2"), F.lit(closing).alias("closing"))
+        legs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: leg(F.element_at(p, i), F.element_at(p, F.least(i + 1, n)), False))
         gap = F.hypot((first["lon"] - last["lon"]) * geo.LON_KM * F.cos(F.radians(first["lat"])), (first["lat"] - last["lat"]) * geo.LAT_KM)
-        return F.struct(legs.alias("legs"), ((n >= 4) & (gap < RING_KM)).alias("ring"))
+        ring = (n >= 4) & (gap < RING_KM)
+        open_ = ring & ((first["lat"] != last["lat"]) | (first["lon"] != last["lon"]))
+        return F.struct(F.when(open_, F.concat(legs, F.array(leg(last, first, True)))).otherwise(legs).alias("legs"), ring.alias("ring"))
 
     return F.transform(F.filter(parts, lambda p: F.size(p) > 0), of)
 
@@ -75,7 +81,7 @@ def _measured(legs: DataFrame) -> DataFrame:
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.least(F.greatest(-(F.col("x1") * dx + F.col("y1") * dy) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    d = F.hypot(F.col("x1") + t * dx, F.col("y1") + t * dy)
+    d = F.when(~F.col("s.closing"), F.hypot(F.col("x1") + t * dx, F.col("y1") + t * dy))
     crosses = ((F.col("y1") > 0) != (F.col("y2") > 0)) & (F.col("x1") + dx * F.try_divide(-F.col("y1"), dy) > 0)
     parts = flat.select("*", d.alias("leg"), F.coalesce(crosses, F.lit(False)).cast("int").alias("crosses")).groupBy("key", "fac_ord", "facility_id", "name", "kind", "part", "ring").agg(F.min("leg").alias("leg"), F.sum("crosses").alias("crossings"))
     return parts.withColumn("d", F.when(F.col("ring") & (F.col("crossings") % 2 == 1), 0.0).otherwise(F.col("leg")))

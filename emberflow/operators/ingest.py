@@ -36,12 +36,17 @@ def check_header(columns: Iterable[str]) -> None:
         raise ValueError(f"required columns are missing: {missing}")
 
 
+def inferred_instrument(columns: Iterable[str]) -> str:
+    """The instrument that the bands of a file without a column of that name tell."""
+    have = set(columns)
+    return "VIIRS" if {"bright_ti4", "bright_ti5"} <= have else "MODIS" if {"brightness", "bright_t31"} <= have else "UNSUPPORTED"
+
+
 def with_optional(raw: DataFrame) -> DataFrame:
     """The raw rows with every optional column; the instrument follows from the bands that the file has."""
     check_header(raw.columns)
-    have = set(raw.columns)
-    inferred = "VIIRS" if {"bright_ti4", "bright_ti5"} <= have else "MODIS" if {"brightness", "bright_t31"} <= have else "UNSUPPORTED"
-    new = {c: F.lit(inferred if c == "instrument" else None).cast("string") for c in OPTIONAL if c not in have}
+    inferred = inferred_instrument(raw.columns)
+    new = {c: F.lit(inferred if c == "instrument" else None).cast("string") for c in OPTIONAL if c not in raw.columns}
     return raw.withColumns(new) if new else raw
 
 

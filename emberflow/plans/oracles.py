@@ -176,7 +176,7 @@ SQL: dict[str, str] = {
      "c as (select d.*, w.comp || ':' || w.episode as cluster, d.daynight as phase from detections d join walk w using (event_id))", _SNAP),
     "nearest_facility_point": _nearest(False),
     "nearest_facility_polygon": _nearest(True),
-    "landcover_fractions": _w("detections landcover", """select p.event_id, d.name as worldcover_dominant, coalesce(round(least(a.n/13.0,1),6),0) as worldcover_coverage, round(a.veg,6) as vegetation_fraction, round(a.built,6) as built_fraction, round(a.bare,6) as bare_fraction from p
+    "landcover_fractions": _w("detections landcover", """select p.event_id, d.name as worldcover_dominant, round(least(coalesce(a.n,0)/13.0,1),6) as worldcover_coverage, round(a.veg,6) as vegetation_fraction, round(a.built,6) as built_fraction, round(a.bare,6) as bare_fraction from p
  left join (select event_id, count(*) as n, avg((code in (10,20,30,40,90,95,100))::int) as veg, avg((code=50)::int) as built, avg((code=60)::int) as bare from m group by 1) a using (event_id)
  left join (select distinct on (event_id) event_id, case code when 10 then 'tree_cover' when 30 then 'grassland' when 40 then 'cropland' when 50 then 'built_up' when 60 then 'bare_sparse' when 80 then 'water' end as name from (select event_id, code, count(*) as n, min((px_row, px_col)) as f from m group by 1,2) q order by event_id, n desc, f) d using (event_id)""",
      "p as (select event_id, event_id%20 as r, user_id%100 as c from detections)", "m as (select event_id, code, px_row, px_col from p join landcover on abs(px_row-r) <= 2 and abs(px_col-c) <= 2 and power(px_row-r,2)+power(px_col-c,2) <= 4)"),

@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberflow.operators.ingest import check_header
+from emberflow.operators.ingest import check_header, inferred_instrument
 
 # The tags that tell a facility's kind, in order.
 KIND_TAGS = ("power", "industrial", "landuse", "man_made")
 
 
+def headers(spark: SparkSession, paths: str | list[str]) -> list[tuple[tuple[str, ...], list[str]]]:
+    """The headers of CSV files, each with the files that have it; only the first line of each file is kept."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(paths)
+    begun = lines.where(F.col("_metadata.file_block_start") == 0)
+    first = begun.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    by_header = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header")
+    return [(tuple(next(csv.reader([r.header.lstrip("\ufeff")]), [])), r.files) for r in by_header.collect()]  # a row for each header
+
+
 def detection_files(spark: SparkSession, paths: str | list[str], required: bool = True) -> DataFrame:
-    """All columns of CSV files as text, with source_file; a file without a required column is an error."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(paths)
-    if required:
-        check_header(df.columns)
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
+    """All columns of CSV files as text, with source_file. Files are read by the names in their own headers, whatever the
+    order; columns that a file lacks are null, but the instrument, which follows from the bands that the file has. A file
+    without a required column is an error."""
+    out = None
+    for header, files in headers(spark, paths):
+        schema = T.StructType([T.StructField(c.strip(), T.StringType()) for c in header])
+        df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv([unquote(f) for f in files])
+        df = df.withColumn("source_file", F.col("_metadata.file_path"))
+        if required:
+            try:
+                check_header(df.columns)
+            except ValueError as e:
+                raise ValueError(f"{files[0]}: {e}") from None
+            if "instrument" not in df.columns:
+                df = df.withColumn("instrument", F.lit(inferred_instrument(df.columns)))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"there are no CSV files in {paths}")
+    return out
 
 
 def sidecars(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -316,3 +316,33 @@ def test_whole_analysis(spark):
     dets, ev, sites = analysis.run(spark.createDataFrame(rows, DETECTION), fac, s, "2024-01-01 00:00:00")
     assert ev.count() == 60 and sites.count() == 3 and dets.count() == 180
     assert ev.where("anomaly_score between 0 and 1").count() > 10 and ev.where("decision is null").count() == 0
+
+
+def test_ring_with_a_gap_is_closed_for_what_is_inside(spark):
+    """The gap lies in the side that the ray from the middle meets."""
+    e = 0.005
+    ring = [(24.0 + 0.00006, 82.0 + e), (24.0 + e, 82.0 + e), (24.0 + e, 82.0 - e), (24.0 - e, 82.0 - e), (24.0 - e, 82.0 + e), (24.0 - 0.00006, 82.0 + e)]
+    f = spark.createDataFrame([(1, "f", "n", "k", [ring])], "fac_ord int, facility_id string, name string, kind string, parts array<array<struct<lat: double, lon: double>>>")
+    p = spark.createDataFrame([(1, 24.0, 82.0), (2, 24.0, 82.0 + 2 * e)], "event_id int, latitude double, longitude double")
+    got = {r.event_id: r.facility_distance_km for r in context.nearest_facility(p, f).collect()}
+    assert got[1] == 0.0 and 0.4 < got[2] < 0.6
+
+
+def test_sites_link_places_by_their_events(spark):
+    """Events at one place are linked as one place with their number: the same sites as those of all events."""
+    import numpy as np
+    from emberflow.operators import clustering
+
+    rng = np.random.default_rng(5)
+    at = rng.integers(0, 40, (400, 2))
+    rows = [(i, 24 + float(a) / 400, 82 + float(b) / 400) for i, (a, b) in enumerate(at.tolist())]
+    events = spark.createDataFrame(rows, "event_id int, latitude double, longitude double")
+    got = {r.key: (r.component, r.part) for r in clustering.site_members(events, 1.5, 3).where("part >= 0").collect()}
+    groups = {}
+    for k, v in got.items():
+        groups.setdefault(v, []).append(k)
+    place = {i: (a, b) for i, a, b in rows}
+    assert groups and all(len(g) >= 3 for g in groups.values())
+    assert len({(place[k], v) for k, v in got.items()}) == len({place[k] for k in got})  # a place is in one site
+    km = lambda p, q: np.hypot((p[0] - q[0]) * 110.6, (p[1] - q[1]) * 111.4 * np.cos(np.radians(24)))
+    assert max(km(place[a], place[b]) for g in groups.values() for a in g for b in g) < 1.52

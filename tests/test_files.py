@@ -65,3 +65,19 @@ def test_stream_upserts(spark, tmp_path):
 def test_hourly_counts_are_a_plan(spark):
     df = spark.createDataFrame([("VIIRS_SNPP", 1.0)], "sensor string, frp double").withColumn("acquired_at", F.lit("2024-01-01 10:20:00").cast("timestamp"))
     assert live.hourly_counts(df).first().n == 1
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a b.csv").write_text(HEADER + "24,82,2024-01-01,100,N,2,5,340,300\n")
+    (tmp_path / "c.csv").write_text("satellite,brightness,bright_t31,acq_time,acq_date,longitude,latitude,extra\nTerra,330,290,130,2024-01-02,83,25,e\n")
+    rows = {r.source_file.rsplit("/", 1)[-1]: r for r in readers.detection_files(spark, f"file://{tmp_path}").collect()}
+    a, c = rows["a%20b.csv"], rows["c.csv"]
+    assert (a.latitude, a.longitude, a.satellite, a.instrument, a.bright_ti4, a.brightness, a.extra) == ("24", "82", "N", "VIIRS", "340", None, None)
+    assert (c.latitude, c.longitude, c.satellite, c.instrument, c.bright_ti4, c.brightness, c.extra) == ("25", "83", "Terra", "MODIS", None, "330", "e")
+    got = ingest.ingest(readers.detection_files(spark, f"file://{tmp_path}"), Settings(), AS_OF).collect()
+    assert {(r.latitude, r.longitude) for r in got} <= {(24.0, 82.0), (25.0, 83.0)} and len(got) >= 1
+    (tmp_path / "d.csv").write_text("latitude,longitude\n1,2\n")
+    with pytest.raises(ValueError, match="d.csv.*missing"):
+        readers.detection_files(spark, f"file://{tmp_path}")
