@@ -93,7 +93,8 @@ def line_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", min_words
     k, own, gone, lines, i = fresh(df.columns, "k", "own", "gone", "lines", "i")
     found = repeated_runs(df, text, key, min_words).select(F.col("k").alias(k), F.col("id").alias(own), F.col("islands").alias(gone))
     docs = df.select(*names).withColumn(k, F.xxhash64(key, text))
-    joined = docs.join(found.withColumnRenamed(k, i), (docs[k] == F.col(i)) & docs[key].eqNullSafe(F.col(own)), "left")
+    # the runs grow with the documents, so they meet by a shuffle at every size, never by a broadcast that an estimate allows
+    joined = docs.join(found.withColumnRenamed(k, i).hint("merge"), (docs[k] == F.col(i)) & docs[key].eqNullSafe(F.col(own)), "left")
     cut = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(F.col(text), "\n", -1)))
     total = F.size(lines)
 
