@@ -76,16 +76,27 @@ def select_candidates(events: DataFrame, e: Evidence, threshold: float, as_of: s
     return first.orderBy("x.tier", "x.n", "event_id").limit(cap).select("event_id", "x.selection")
 
 
+def _degrees(at: Column) -> Column:
+    return F.floor(at).cast("int")
+
+
 def usable_scenes(events: DataFrame, scenes: DataFrame, e: Evidence, as_of: str) -> DataFrame:
     """Scenes (scene_id, collection, tile, at, cloud, nir, west, south, east, north) before and after each event, whose box
-    covers it; never later than ``as_of``. One scene a time, collection and tile; the nearest few of each side."""
+    covers it; never later than ``as_of``. One scene a time, collection and tile; the nearest few of each side.
+
+    Events meet scenes by degree of latitude and longitude and by a stretch of time as wide as the window. Of scenes with
+    one time, collection, tile and box only the first can be kept for any event, so the others go before the join.
+    """
     now = F.lit(as_of).cast("timestamp_ntz")
-    ev = events.where(F.col("end_time") < now).select("event_id", "start_time", "end_time", "latitude", "longitude")
-    # scenes are a catalogue of the area; time buckets as wide as the window keep the join an equi-join
+    ev = events.where(F.col("end_time") < now).select("event_id", "start_time", "end_time", "latitude", "longitude", _degrees(F.col("latitude")).alias("d_lat"), _degrees(F.col("longitude")).alias("d_lon"))
     width = max(e.days_before, e.days_after) + 1
     bucket = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / (86400 * width))
     ev = ev.withColumn("b", F.explode(F.sequence(bucket(time.shift_days(F.col("start_time"), -e.days_before)), bucket(time.shift_days(F.col("end_time"), e.days_after)))))
-    met = ev.join(scenes.where((F.col("at") <= now) & (F.coalesce("cloud", F.lit(100.0)) <= e.max_scene_cloud)).withColumn("b", bucket(F.col("at"))), "b")
+    box = ["west", "south", "east", "north"]
+    fit = scenes.where((F.col("at") <= now) & (F.coalesce("cloud", F.lit(100.0)) <= e.max_scene_cloud) & (F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north")))
+    fit = fit.groupBy("collection", "tile", "at", *box).agg(F.min(F.struct("scene_id", "cloud", "nir")).alias("s")).select("collection", "tile", "at", *box, "s.*")
+    fit = fit.withColumn("d_lat", F.explode(F.sequence(_degrees(F.col("south")), _degrees(F.col("north"))))).withColumn("d_lon", F.explode(F.sequence(_degrees(F.col("west")), _degrees(F.col("east")))))
+    met = ev.join(fit.withColumn("b", bucket(F.col("at"))), ["b", "d_lat", "d_lon"])
     inside = F.col("longitude").between(F.col("west"), F.col("east")) & F.col("latitude").between(F.col("south"), F.col("north"))
     before = (F.col("at") < F.col("start_time")) & (F.col("at") >= time.shift_days(F.col("start_time"), -e.days_before))
     after = (F.col("at") > F.col("end_time")) & (F.col("at") <= time.shift_days(F.col("end_time"), e.days_after))
@@ -93,21 +104,36 @@ def usable_scenes(events: DataFrame, scenes: DataFrame, e: Evidence, as_of: str)
     lag = F.when(F.col("side") == "pre", F.timestamp_diff("SECOND", F.col("at"), F.col("start_time"))).otherwise(F.timestamp_diff("SECOND", F.col("end_time"), F.col("at")))
     one = Window.partitionBy("event_id", "collection", "tile", "side", "at").orderBy("scene_id")
     near = Window.partitionBy("event_id", "collection", "tile", "side").orderBy("lag", F.coalesce("cloud", F.lit(100.0)), "scene_id")
-    kept = sided.withColumns({"lag": lag, "one": F.row_number().over(one)}).where("one = 1").withColumn("n", F.row_number().over(near)).where(F.col("n") <= e.max_scenes_per_side)
-    return kept.select("event_id", "collection", "tile", "side", "scene_id", "at", "cloud", "nir", "lag")
+    kept = sided.select("event_id", "collection", "tile", "side", "scene_id", "at", "cloud", "nir", lag.alias("lag"))
+    kept = kept.repartition("event_id")  # one shuffle for both windows and for the pairs
+    kept = kept.withColumn("one", F.row_number().over(one)).where("one = 1").withColumn("n", F.row_number().over(near)).where(F.col("n") <= e.max_scenes_per_side)
+    return kept.drop("one", "n")
 
 
-def scene_pairs(sided: DataFrame, e: Evidence) -> DataFrame:
-    """Pairs of one tile, collection and near-infrared band, ranked: verified radiometry, then nearness, cloud, collection."""
+def scene_pairs(sided: DataFrame, e: Evidence, best: int | None = None) -> DataFrame:
+    """Pairs of one tile, collection and near-infrared band, ranked: verified radiometry, then nearness, cloud, collection.
+
+    With ``best`` only the pairs of ranks up to it. A pair of the i-th nearest scene before and the j-th nearest after
+    has at least i * j - 1 nearer pairs of its tile, so those with i * j beyond ``best`` aren't formed.
+    """
     keys = ["event_id", "collection", "tile", "nir"]
-    part = lambda s: sided.where(F.col("side") == s).select(*keys, F.col("scene_id").alias(f"{s}_scene"), F.col("lag").alias(f"{s}_lag"), F.coalesce("cloud", F.lit(100.0)).alias(f"{s}_cloud"))
+    place_of = Window.partitionBy(*keys, "side").orderBy("lag")
+    ranked_ = sided if best is None else sided.withColumn("i", F.rank().over(place_of)).where(F.col("i") <= best)
+
+    def part(s: str) -> DataFrame:
+        own = [] if best is None else [F.col("i").alias(f"{s}_i")]
+        return ranked_.where(F.col("side") == s).select(*keys, F.col("scene_id").alias(f"{s}_scene"), F.col("lag").alias(f"{s}_lag"), F.coalesce("cloud", F.lit(100.0)).alias(f"{s}_cloud"), *own)
+
     pairs = part("pre").join(part("post"), keys)
+    if best is not None:
+        pairs = pairs.where(F.col("pre_i") * F.col("post_i") <= best).drop("pre_i", "post_i")
     place = F.lit(len(e.collections))
     for i, c in enumerate(e.collections):
         place = F.when(F.col("collection") == c, i).otherwise(place)
     pairs = pairs.withColumns({"lag": F.col("pre_lag") + F.col("post_lag"), "cloud": F.col("pre_cloud") + F.col("post_cloud"), "legacy": F.col("collection") == LEGACY, "place": place})
     w = Window.partitionBy("event_id").orderBy("legacy", "lag", "cloud", "place", "pre_scene", "post_scene")
-    return pairs.withColumn("pair_rank", F.row_number().over(w)).drop("place", "pre_lag", "post_lag", "pre_cloud", "post_cloud")
+    out = pairs.withColumn("pair_rank", F.row_number().over(w)).drop("place", "pre_lag", "post_lag", "pre_cloud", "post_cloud")
+    return out if best is None else out.where(F.col("pair_rank") <= best)
 
 
 def reflectance(raw: Column, scale: Column, offset: Column, nodata: Column | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,41 @@ def judged(events: DataFrame, p: Peers, area: Area) -> DataFrame:
     return out.withColumns({"place_ok": place, "cover_ok": cover, "kind_ok": kind, "target": green & site_score.isNull(), "eligible": green & place & cover & kind & whole & _true(F.col("data_quality") == "science_quality")})
 
 
-def references(rows: DataFrame, p: Peers) -> DataFrame:
+def _circle(at: Column, period: float, reach: float) -> tuple[Column, Column]:
+    """The part of a circle that ``at`` (0 to ``period``) is in, and that part with its neighbours: what is within ``reach`` lies there."""
+    n = max(1, int(period / reach)) if reach > 0 else 1
+    part = F.pmod(F.floor(at / F.lit(period / n)), F.lit(n))
+    return part, F.array_distinct(F.array(*(F.pmod(part + i, F.lit(n)) for i in (-1, 0, 1))))
+
+
+def _blocks(p: Peers, area: Area) -> list[tuple[str, Column, Column]]:
+    """The keys by which targets meet the references around them: part of the year, bands of latitude and of longitude."""
+    half = math.sin(min(p.radius_km / (2 * geo.EARTH_KM), math.pi / 2))
+    widest = math.cos(math.radians(max(abs(area.south), abs(area.north))))
+    reach_lat = math.degrees(p.radius_km / geo.EARTH_KM) * 1.001
+    reach_lon = math.degrees(2 * math.asin(half / widest)) * 1.001 if half < widest else 360.0
+    band = F.floor(F.col("latitude") / F.lit(reach_lat))
+    return [
+        ("b_season", *_circle(F.dayofyear("start_time") - 1.0, 366.0, float(p.season_window_days))),
+        ("b_lat", band, F.array(*(band + i for i in (-1, 0, 1)))),
+        ("b_lon", *_circle(F.col("longitude") + 180.0, 360.0, reach_lon)),
+    ]
+
+
+def references(rows: DataFrame, p: Peers, area: Area) -> DataFrame:
     """(target, its vectors v_*) x its references: same group, ended before the gap, inside window, season and ring; one a
-    cell and day, the latest ``max_events`` of these."""
-    keys = list(GROUP)
+    cell and day, the latest ``max_events`` of these.
+
+    They meet by group, part of the year and blocks as wide as the radius, so that a key holds what is near in place and season.
+    """
+    blocks = _blocks(p, area)
+    keys = [*GROUP, *(name for name, _, _ in blocks)]
     v = [f"v_{f}" for f in FEATURES]
-    t = rows.where("target and place_ok and cover_ok and kind_ok").select(F.col("event_id").alias("target_id"), *keys, F.col("start_time").alias("t_start"), F.col("day").alias("t_day"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"))
-    r = rows.where("eligible").select(*keys, "event_id", "start_time", "end_time", "day", "cell", "latitude", "longitude", *v)
+    t = rows.where("target and place_ok and cover_ok and kind_ok")
+    for name, _, around in blocks:
+        t = t.withColumn(name, F.explode(around))
+    t = t.select(F.col("event_id").alias("target_id"), *keys, F.col("start_time").alias("t_start"), F.col("day").alias("t_day"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"))
+    r = rows.where("eligible").withColumns({name: own for name, own, _ in blocks}).select(*keys, "event_id", "start_time", "end_time", "day", "cell", "latitude", "longitude", *v)
     cutoff = F.date_sub("t_day", p.gap_days).cast("timestamp_ntz")
     met = t.join(r, keys).where((F.col("end_time") < cutoff) & (F.col("start_time") >= time.shift_days(F.col("t_start"), -p.history_window_days)) & (time.season_distance(F.col("start_time"), F.col("t_start")) <= p.season_window_days))
     away = geo.haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("latitude"), F.col("longitude"))
@@ -77,7 +107,7 @@ def score_peers(events: DataFrame, p: Peers, area: Area) -> DataFrame:
         events = events.withColumn("site_anomaly_score", F.col("anomaly_score"))
     events = checkpointed(events)  # targets, references and the result all come from it
     rows = judged(events, p, area)
-    found = diversity(references(rows, p))
+    found = diversity(references(rows, p, area))
     out = rows.join(found, rows.event_id == found.target_id, "left").drop("target_id")
     lists = {f"_l_{f}": F.transform("vectors", _get(f"v_{f}")) for f in FEATURES}
     out = out.withColumns(lists)

@@ -351,7 +351,7 @@ def isolation_forest(spark, d):
 
 
 def _peer_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = view(spark, d, "episodes").where("context_label = 'vegetation_associated'")
+    e = view(spark, d, "episodes")
     return e.withColumn("anomaly_score", F.when(F.col("event_id") % 5 == 0, 0.4))
 
 
@@ -362,7 +362,7 @@ def peer_eligibility(spark, d):
 
 @query
 def peer_join(spark, d):
-    r = peers.references(peers.judged(_peer_rows(spark, d), S.peers, S.area), S.peers)
+    r = peers.references(peers.judged(_peer_rows(spark, d), S.peers, S.area), S.peers, S.area)
     return r.groupBy("target_id").agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"), F.count_distinct("cell").alias("cells"), F.min("event_id").alias("lowest"))
 
 
@@ -371,7 +371,7 @@ def peer_dedup_cap(spark, d):
     from dataclasses import replace
 
     p = replace(S.peers, max_events=40)
-    r = peers.references(peers.judged(_peer_rows(spark, d), p, S.area), p)
+    r = peers.references(peers.judged(_peer_rows(spark, d), p, S.area), p, S.area)
     return r.groupBy("target_id").agg(F.count("*").alias("n"), F.min("day").cast("string").alias("first_day"), F.sum("event_id").alias("ids"))
 
 
@@ -428,25 +428,21 @@ def _scenes(spark: SparkSession, d: str) -> DataFrame:
     s = view(spark, d, "facilities")
     k = F.col("fac_ord")
     c = F.when(k % 3 == 0, "sentinel-2-l2a").otherwise("sentinel-2-c1-l2a")
-    t = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("step"))
-    return t.select(F.concat_ws("-", F.lit("s"), k.cast("string"), F.col("step").cast("string")).alias("scene_id"), c.alias("collection"), F.concat(F.lit("t"), (k % 4).cast("string")).alias("tile"), F.timestamp_add("DAY", (F.col("step") * 14 + k % 13).cast("int"), F.lit("1996-01-01 10:00:00").cast("timestamp_ntz")).alias("at"), ((k * 13 + F.col("step") * 7) % 100).cast("double").alias("cloud"), F.when(k % 5 == 0, "nir08").otherwise("nir").alias("nir"), F.lit(81.0).alias("west"), (22.0 + k % 2).alias("south"), F.lit(84.0).alias("east"), (24.5 + k % 2).alias("north"))
-
-
-def _imaged(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "episodes").where("start_time between timestamp '1996-02-01' and timestamp '1997-06-01' and context_label = 'mixed'")
+    t = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(182))).alias("step"))
+    return t.select(F.concat_ws("-", F.lit("s"), k.cast("string"), F.col("step").cast("string")).alias("scene_id"), c.alias("collection"), F.concat(F.lit("t"), (k % 4).cast("string")).alias("tile"), F.timestamp_add("DAY", (F.col("step") * 14 + k % 13).cast("int"), F.lit("1994-12-01 10:00:00").cast("timestamp_ntz")).alias("at"), ((k * 13 + F.col("step") * 7) % 100).cast("double").alias("cloud"), F.when(k % 5 == 0, "nir08").otherwise("nir").alias("nir"), F.lit(81.0).alias("west"), (22.0 + k % 2).alias("south"), F.lit(84.0).alias("east"), (24.5 + k % 2).alias("north"))
 
 
 @query
 def catalogue_interval(spark, d):
-    s = evidence.usable_scenes(_imaged(spark, d), _scenes(spark, d), Evidence(max_scenes_per_side=3), "2001-01-01 00:00:00")
+    s = evidence.usable_scenes(view(spark, d, "episodes"), _scenes(spark, d), S.evidence, "2001-10-01 00:00:00")
     return s.select("event_id", "collection", "tile", "side", "scene_id", F.col("lag").cast("bigint").alias("lag"))
 
 
 @query
 def pair_rank(spark, d):
-    e = Evidence(max_scenes_per_side=3)
-    p = evidence.scene_pairs(evidence.usable_scenes(_imaged(spark, d), _scenes(spark, d), e, "2001-01-01 00:00:00"), e)
-    return p.where("pair_rank <= 4").select("event_id", "pre_scene", "post_scene", F.col("pair_rank").cast("bigint").alias("pair_rank"))
+    e = S.evidence
+    p = evidence.scene_pairs(evidence.usable_scenes(view(spark, d, "episodes"), _scenes(spark, d), e, "2001-10-01 00:00:00"), e, e.max_pair_attempts)
+    return p.select("event_id", "pre_scene", "post_scene", F.col("pair_rank").cast("bigint").alias("pair_rank"))
 
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:

@@ -82,16 +82,16 @@ def _peer(source: str, cap: int = 2000) -> tuple[str, ...]:
     )
 
 
-_PEERS = "select *, case when event_id % 5 = 0 then 0.4e0 end as anomaly_score from episodes where context_label='vegetation_associated'"
+_PEERS = "select *, case when event_id % 5 = 0 then 0.4e0 end as anomaly_score from episodes"
 _SCENES = """sc as (select 's-' || fac_ord || '-' || step as scene_id, case when fac_ord%3=0 then 'sentinel-2-l2a' else 'sentinel-2-c1-l2a' end as collection, 't' || (fac_ord%4) as tile,
- timestamp '1996-01-01 10:00:00' + cast(step*14+fac_ord%13 as integer) * interval 1 day as shot, ((fac_ord*13+step*7)%100)::double as cloud, case when fac_ord%5=0 then 'nir08' else 'nir' end as nir, 22.0+fac_ord%2 as south, 24.5+fac_ord%2 as north from facilities, range(41) r(step)),
-ev as (select * from episodes where start_time between timestamp '1996-02-01' and timestamp '1997-06-01' and context_label='mixed'),
+ timestamp '1994-12-01 10:00:00' + cast(step*14+fac_ord%13 as integer) * interval 1 day as shot, ((fac_ord*13+step*7)%100)::double as cloud, case when fac_ord%5=0 then 'nir08' else 'nir' end as nir, 22.0+fac_ord%2 as south, 24.5+fac_ord%2 as north from facilities, range(183) r(step)),
+ev as (select * from episodes where end_time < timestamp '2001-10-01'),
 sided as (select ev.event_id, sc.collection, sc.tile, sc.nir, sc.scene_id, sc.shot, sc.cloud, case when sc.shot < ev.start_time then 'pre' else 'post' end as side,
  case when sc.shot < ev.start_time then epoch(ev.start_time - sc.shot) else epoch(sc.shot - ev.end_time) end as lag from ev, sc
- where ev.latitude between sc.south and sc.north and ev.longitude between 81 and 84 and sc.cloud <= 70
+ where ev.latitude between sc.south and sc.north and ev.longitude between 81 and 84 and sc.cloud <= 70 and sc.shot <= timestamp '2001-10-01'
  and ((sc.shot < ev.start_time and sc.shot >= ev.start_time - interval 45 days) or (sc.shot > ev.end_time and sc.shot <= ev.end_time + interval 30 days))),
 one as (select * from sided qualify row_number() over (partition by event_id, collection, tile, side, shot order by scene_id) = 1),
-kept as (select * from one qualify row_number() over (partition by event_id, collection, tile, side order by lag, cloud, scene_id) <= 3)"""
+kept as (select * from one qualify row_number() over (partition by event_id, collection, tile, side order by lag, cloud, scene_id) <= 12)"""
 _PIX = """px as (select p_size::bigint as pair, (p_partkey%50)/100.0e0+0.2e0 as n0, (p_partkey%30)/100.0e0+0.1e0 as s0, (p_partkey%20)/100.0e0+0.05e0 as t0, (p_partkey%40)/100.0e0+p_size/200.0e0 as n1, (p_partkey%30)/100.0e0+0.15e0 as s1,
  (p_partkey%25)/100.0e0+p_size/300.0e0 as t1, [4,5,6,4,5,9,4,3][p_partkey%8+1] as c0, [4,5,6,4,5,9,4,3][(p_partkey+p_size)%8+1] as c1 from part),
 ix as (select *, c0 in (4,5,6) as ok0, c1 in (4,5,6) as ok1, (n0-t0)/(n0+t0)-(n1-t1)/(n1+t1) as d from px),
