@@ -61,3 +61,32 @@ def utm_epsg(lat: Column, lon: Column) -> Column:
     """The EPSG code of the UTM zone."""
     zone = F.least(F.floor((lon + 180) / 6) + 1, F.lit(60))
     return (F.when(lat >= 0, 32600).otherwise(32700) + zone).cast("int")
+
+
+# The WGS 84 ellipsoid, the scale and the false origin of UTM.
+WGS84_A, WGS84_F, UTM_SCALE, UTM_EAST, UTM_SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
+
+
+def utm_metres(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """(easting, northing) in the point's UTM zone, by Krüger's series of third order (errors below a millimetre in the zone)."""
+    n = WGS84_F / (2 - WGS84_F)
+    alphas = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    radius = WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    e = 2 * n**0.5 / (1 + n)
+    meridian = (utm_epsg(lat, lon) % 100) * 6 - 183
+    s, away = F.sin(F.radians(lat)), F.radians(lon - meridian)
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    x = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(alphas, 1)), F.lit(0.0))
+    y = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(alphas, 1)), F.lit(0.0))
+    return UTM_EAST + UTM_SCALE * radius * x, F.when(lat >= 0, 0.0).otherwise(UTM_SOUTH) + UTM_SCALE * radius * y
+
+
+def snapped_grid(lat: Column, lon: Column, radius_m: float, step: float = 20.0) -> Column:
+    """A struct (epsg, x, y, left, top, rows, cols): the grid of ``step`` metres, on multiples of it, around a point."""
+    if not 0 < radius_m <= 10_000 or step != 20:
+        raise ValueError("a grid has a step of 20 m and a radius of at most 10 km")
+    x, y = utm_metres(lat, lon)
+    left, top = F.floor((x - radius_m) / step) * step, F.ceil((y + radius_m) / step) * step
+    rows, cols = F.ceil((top - y + radius_m) / step), F.ceil((x + radius_m - left) / step)
+    return F.struct(utm_epsg(lat, lon).alias("epsg"), x.alias("x"), y.alias("y"), left.alias("left"), top.alias("top"), rows.cast("int").alias("rows"), cols.cast("int").alias("cols"))

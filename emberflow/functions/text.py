@@ -47,6 +47,13 @@ def safe_relative_path(c: Column) -> Column:
     return F.when(~bad, p)
 
 
+def portable_preview(c: Column, folder: str = "sentinel") -> Column:
+    """A preview's path below its last ``folder``, where that is safe; what lies elsewhere stays as it is."""
+    p = F.replace(c, F.lit("\\"), F.lit("/"))
+    inside = F.when(F.contains(p, F.lit(f"/{folder}/")), F.concat(F.lit(f"{folder}/"), F.substring_index(p, f"/{folder}/", -1)))
+    return F.coalesce(safe_relative_path(inside), c)
+
+
 def set_text(c: Column) -> Column:
     """Aggregate: the distinct values, sorted and joined by ``|``."""
     return F.concat_ws("|", F.array_sort(F.collect_set(c)))

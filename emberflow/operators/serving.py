@@ -91,6 +91,15 @@ def headline(events: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("events"), F.count("anomaly_score").alias("scored"), F.count_if(F.col("anomaly_score").isNull()).alias("unscored"), F.count_if(F.col("decision").startswith("suspected_")).alias("suspected"), F.min("start_time").alias("first"), F.max(F.greatest("start_time", "end_time")).alias("last"))
 
 
+def time_span(events: DataFrame, audit: DataFrame | None = None) -> DataFrame:
+    """(first, last): the audit's date_min and date_max (text or times) where they can be read, else the extremes of starts and ends."""
+    own = events.agg(F.min(F.least("start_time", "end_time")).alias("own_first"), F.max(F.greatest("start_time", "end_time")).alias("own_last"))
+    if audit is None:
+        return own.select(F.col("own_first").alias("first"), F.col("own_last").alias("last"))
+    told = audit.agg(F.min(lenient_time(F.col("date_min").cast("string"))).alias("a"), F.max(lenient_time(F.col("date_max").cast("string"))).alias("b"))
+    return own.join(F.broadcast(told)).select(F.coalesce("a", "own_first").alias("first"), F.coalesce("b", "own_last").alias("last"))  # a row each
+
+
 def valid_points(events: DataFrame) -> DataFrame:
     return events.where(geo.valid_coordinates(F.col("latitude"), F.col("longitude")))
 

@@ -389,7 +389,7 @@ def score_gate(spark, d):
 @query
 def decision_basis(spark, d):
     e = decision.decide(view(spark, d, "scored"), S.models)
-    return e.select("event_id", "decision", F.when(F.col("score_status") == "scored", F.col("decision_basis")).alias("basis"))
+    return e.select("event_id", "decision", F.col("decision_basis").alias("basis"))
 
 
 @query
@@ -643,7 +643,8 @@ def safe_paths(spark, d):
 
 @query
 def peer_reference_digest(spark, d):
-    return governance.digest(view(spark, d, "episodes"), "event_id", ["frp_peak_mw"], "site_id").select("site_id", "rows")
+    r = peers.references(peers.judged(_peer_rows(spark, d), S.peers, S.area), S.peers, S.area)
+    return peers.diversity(r).select("target_id", "peer_reference_count", F.col("peer_reference_hash").alias("digest"))
 
 
 @query

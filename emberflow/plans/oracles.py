@@ -212,7 +212,11 @@ SQL: dict[str, str] = {
      "own as (select j.event_id as target_id, n, days, cells, sqrt((" + "+".join(f"power(greatest((v{k}-m{k})/s{k},0),2)" for k in (1, 2, 3)) + ")/3) as raw from pj j join sl on sl.target_id=j.event_id where v1 is not null and v2 is not null and v3 is not null)",
      "rk as (select own.target_id, (count_if(rr.raw < own.raw-1e-12)+count_if(rr.raw <= own.raw+1e-12)+1)/(2.0*(own.n+1)) as sc from own join rr using (target_id) where own.n >= 32 and own.days >= 8 and own.cells >= 3 group by own.target_id, own.n)"),
     "score_gate": _w("scored", "select event_id, score_status from gate", _SCORED_GATE),
-    "decision_basis": _w("scored", "select event_id, decision, case when score_status='scored' then 'context=' || source_context || '; ' || case when score_method='vegetation_peer' then 'comparison=vegetation_peers; references=' || peer_reference_count else 'history_events=' || history_event_count end || '; evidence_score=' || printf('%.3f', anomaly_score) || '; sentinel=unavailable' end as basis from decided", _SCORED_GATE),
+    "decision_basis": _w("scored", """select event_id, decision, case when score_status='scored' then 'context=' || source_context || '; ' || case when score_method='vegetation_peer' then 'comparison=vegetation_peers; references=' || peer_reference_count else 'history_events=' || history_event_count end || '; evidence_score=' || printf('%.3f', anomaly_score) || '; sentinel=unavailable'
+ else 'context=' || source_context || '; anomaly score unavailable; reason=' || score_status || '; ' || case when score_status='no_recurrent_site' then 'The event belongs to no recurrent site, so there is no history to compare with.'
+ when score_status='insufficient_site_history' then history_event_count || ' comparable earlier events at the site, 6 are needed.' when score_status='insufficient_features' then model_feature_count || ' features can be compared, 3 are needed.'
+ when score_status='unknown_daynight' then 'The phase of the day is unknown, so there is no calibration group.' when score_status='insufficient_calibration' then calibration_event_count || ' earlier events to calibrate on, 32 are needed.'
+ when score_status='diagnostics_unavailable' then 'No score was recorded, and the diagnostics don''t tell why.' else 'No suitable comparison with vegetation peers.' end end as basis from decided""", _SCORED_GATE),
     "provisional_flag": _w("episodes", "select event_id, end_time > timestamp '1999-05-31 00:00:00' as provisional from episodes"),
     "interpretation_summary": _w("scored", "select kind, value, count(*) as n from (select 'score_status' as kind, score_status as value from decided union all select 'score_method', score_method from decided union all select 'source_context', source_context from decided union all select 'review_context', source_context from decided where anomaly_score >= 0.95) x where value is not null group by all", _SCORED_GATE),
     "ranked_candidates": _w("scored", "select event_id, anomaly_score, start_time from scored order by coalesce(anomaly_score,-1) desc, coalesce(frp_peak_mw,0) desc, start_time desc, event_id limit 500"),
@@ -255,7 +259,7 @@ SQL: dict[str, str] = {
     "shard_index": _w("episodes", "select event_id, floor((k-1)/256)::bigint as shard, ((k-1)%256)::bigint as shard_index from (select event_id, row_number() over (order by event_id) as k from episodes) q"),
     "geojson_rows": _w("scored", "select event_id, 'Feature' as type, site_id, 'Point' as geometry, history_event_count as history from scored"),
     "safe_paths": "select page_id, case page_id%6 when 0 then 'a/' || page_id || '.png' when 3 then 'b c.JPEG' when 4 then 'd/e.webp' end as safe from pages",
-    "peer_reference_digest": _w("episodes", "select site_id, count(*) as rows from episodes group by 1"),
+    "peer_reference_digest": _w("episodes", "select target_id, count(*) as peer_reference_count, sha256(string_agg(event_id || ',' || v1 || ',' || v2 || ',' || v3, chr(10) order by day, cast(event_id as varchar))) as digest from refs group by 1", *_peer(_PEERS)),
     "season_distance": _w("episodes", "select event_id, least(abs(dayofyear(start_time)-10), 366-abs(dayofyear(start_time)-10))::bigint as days from episodes"),
     "flagship": _w("detections", """select s.cluster, start_time, end_time, detection_count, observation_count, frp_peak_mw, detection_peak from (select cluster, count(*) as observation_count, round(max(fs),6) as frp_peak_mw, max(ds) as detection_peak from s group by 1) s
  join (select cluster, min(acquired_at) as start_time, max(acquired_at) as end_time, count(*) as detection_count from c group by 1) r on r.cluster=s.cluster""", _CL.replace("from detections)", "from detections where latitude between 23.2 and 25.2 and longitude between 81.5 and 83.5)"), _SNAP),

@@ -6,10 +6,12 @@ import csv
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberflow.config import Area
+from emberflow.functions.geo import tile_code
 from emberflow.operators.ingest import check_header, inferred_instrument
 
 # The tags that tell a facility's kind, in order.
@@ -109,10 +111,63 @@ def optional(spark: SparkSession, path: str, schema: str, kind: str = "json") ->
         return spark.createDataFrame([], schema), "unreadable_cache"
 
 
-def results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def optional_geojson(spark: SparkSession, path: str, properties: str) -> tuple[DataFrame, str]:
+    """(rows of ``geojson``, status): cached, empty_cache, not_cached, unreadable_cache, or invalid_cache where the document
+    is no FeatureCollection."""
+    schema = "type string, features array<string>"
+    none = spark.createDataFrame([], f"{properties.replace(':', ' ')}, longitude double, latitude double")
+    doc, status = optional(spark, path, schema)
+    if status == "cached":
+        whole = doc.agg(F.count_if((F.col("type") == "FeatureCollection") & F.col("features").isNotNull()).alias("good"), F.count("*").alias("n"), F.sum(F.coalesce(F.size("features"), F.lit(0))).alias("rows")).first()
+        status = "invalid_cache" if whole.good != whole.n else "cached" if whole.rows else "empty_cache"
+    return (geojson(spark, path, properties), status) if status == "cached" else (none, status)
+
+
+def results(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A saved result: Parquet, which has its types, or with a schema the CSV that ``sinks.csv`` writes. Times are read as
+    times and numbers as they were written; a value that isn't of its type is an error. A schema of strings gives rows as they stand."""
+    if schema is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
 def download_plan(spark: SparkSession, years: list[int], products: list[str]) -> DataFrame:
     """Each year with each product."""
     return spark.createDataFrame([(y,) for y in years], "year int").crossJoin(spark.createDataFrame([(p,) for p in products], "product string"))
+
+
+def recoverable(content: Column, etag: Column) -> Column:
+    """Whether a partial download is whole: its MD5 is the strong entity tag that was kept. Weak and other tags tell nothing."""
+    strong = F.regexp_extract(F.coalesce(etag, F.lit("")), '^"([0-9a-fA-F]{32})"$', 1)
+    return F.coalesce((strong != "") & (F.md5(content) == F.lower(strong)), F.lit(False))
+
+
+def may_follow(link: Column, first: Column) -> Column:
+    """Whether the next page's link stays with the scheme and host (and port) of the first request."""
+    origin = lambda c: F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"^(https?://[^/?#@\\\s]+)(?:[/?#]|$)", 1))
+    return (origin(link) != "") & (origin(link) == origin(first))
+
+
+def area_tiles(spark: SparkSession, area: Area, step: int = 3) -> DataFrame:
+    """(tile): the names of the raster tiles that an area touches."""
+    corner = lambda lo, hi: F.explode(F.sequence(F.floor(F.lit(lo) / step) * step, F.floor(F.lit(hi) / step) * step, F.lit(step).cast("bigint")))
+    cells = spark.range(1).select(corner(area.south, area.north).alias("lat")).select("lat", corner(area.west, area.east).alias("lon"))
+    return cells.select(tile_code(F.col("lat"), F.col("lon"), step).alias("tile"))
+
+
+def preflight(spark: SparkSession, paths: str | list[str], mapped: DataFrame, pixels: DataFrame, area: Area) -> DataFrame:
+    """(check, subject): what stands in the way of a run. CSV files without a required column, no usable facility, tiles of the
+    area without a pixel. Nothing is written; only headers are read of the CSV files."""
+    found = []
+    known = headers(spark, paths)
+    if not known:
+        found.append(("no_detection_files", ""))
+    for header, files in known:
+        try:
+            check_header([c.strip() for c in header])
+        except ValueError:
+            found += [("invalid_header", f) for f in files]
+    if mapped.isEmpty():
+        found.append(("no_facilities", ""))
+    missing = area_tiles(spark, area).join(pixels.select("tile").distinct(), "tile", "left_anti").select(F.lit("missing_tile").alias("check"), F.col("tile").alias("subject"))
+    return spark.createDataFrame(found, "check string, subject string").unionByName(missing)
