@@ -12,7 +12,7 @@ from emberflow.operators.events import cluster_events, discover_sites
 def score(events: DataFrame, settings: Settings, isolation: bool = True) -> DataFrame:
     """Events with history, calibrated and fused scores, and peer scores where the site has none."""
     m = settings.models
-    out = scores.robust_z(scores.history(scores.prepared(events), m), m)
+    out = scores.baselines(scores.prepared(events), m)
     out = scores.calibrated(out, m)
     if isolation:
         out = forest.with_isolation(out, m)

@@ -318,7 +318,7 @@ def robust_scale(spark, d):
 
 @query
 def robust_rms(spark, d):
-    e = scores.robust_z(scores.history(_episodes(spark, d), S.models), S.models)
+    e = scores.baselines(_episodes(spark, d), S.models)
     return e.select("event_id", F.col("model_feature_count").cast("bigint").alias("features"), r6("past_z_frp_peak_mw", "z_frp"), r6("robust_anomaly_raw", "raw"))
 
 

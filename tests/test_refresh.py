@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_contracts import EPISODE, S, episode, peer_rows
 
-from emberflow.config import Area, Evidence, Peers, Settings
+from emberflow.config import Area, Evidence, Models, Peers, Settings
 from emberflow.functions import geo, text
-from emberflow.operators import decision, evidence, peers, refresh, serving
+from emberflow.operators import decision, evidence, peers, refresh, scores, serving
 from emberflow.sources import readers, sinks
 
 
@@ -209,3 +209,21 @@ def test_previews_times_and_notes(spark):
     assert bands.where(serving.score_band(F.col("s")) != F.col("want")).isEmpty()
     allowed = spark.createDataFrame([("analysed", None, True), ("analysed", "legacy_offset_unverified", False), ("queued", None, False), (None, None, False)], "s string, r string, want boolean")
     assert allowed.where(serving.imagery_numbers_allowed(F.col("s"), F.col("r")) != F.col("want")).isEmpty()
+
+
+# ---- baselines
+
+
+def test_baselines_equal_the_joined_history(spark):
+    rng = random.Random(9)
+    rows = [episode(f"e{i}", rng.choice([rng.randrange(400), 7]), site=rng.choice(["S1", "S1", "S2", ""]), frp=rng.choice([None, 5.0, rng.uniform(1, 50)]), sensor=rng.choice(["VIIRS_SNPP", "VIIRS_NOAA20"]), quality=rng.choice(["science_quality"] * 4 + ["near_real_time"]), hours=rng.choice([1, 2, 90])) for i in range(500)]
+    df = scores.prepared(spark.createDataFrame(rows, EPISODE).unionByName(spark.createDataFrame([("bare", "S1")], "event_id string, site_id string"), allowMissingColumns=True))
+    keep = ["event_id", "history_event_count", "baseline_mode", "baseline_start", "baseline_end", "days_since_previous", "model_feature_count", "robust_anomaly_raw", *(f"past_z_{f}" for f in scores.FEATURES)]
+    for m in (Models(history_window_days=60, min_history_events=4, seasonal_window_days=20, seasonal_min_events=6), Models(history_window_days=2557), Models(min_history_events=7, seasonal_window_days=0)):
+        want = {r.event_id: r for r in scores.robust_z(scores.history(df, m), m).select(keep).collect()}
+        got = {r.event_id: r for r in scores.baselines(df, m).select(keep).collect()}
+        assert set(got) == set(want) and {r.baseline_mode for r in want.values()} >= {"insufficient_history", "rolling_same_sensor_and_daynight"}
+        for k, w in want.items():
+            assert [x for x in got[k] if not isinstance(x, float)] == [x for x in w if not isinstance(x, float)], k
+            assert [x for x in got[k] if isinstance(x, float)] == pytest.approx([x for x in w if isinstance(x, float)], rel=1e-9, abs=1e-9), k
+    assert scores.baselines(df.limit(0), Models()).isEmpty()
