@@ -12,6 +12,8 @@ from emberflow.functions import geo
 
 #: Facilities are broadcast in blocks of at most so many vertices; more blocks are joined one after another.
 BLOCK_VERTICES = 500_000
+#: Points are taken together by cells of so many degrees to find the facilities that may be nearest.
+CELL_DEGREES = 0.02
 #: A ring's ends may lie so far apart.
 RING_KM = 0.02
 # Land-cover codes and their names.
@@ -48,24 +50,36 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str = "event
     """(key, facility_distance_km, nearest_facility_id, _name, _kind) of each point (``key``, latitude, longitude).
 
     Facilities have fac_ord, facility_id, name, kind and parts, lists of (lat, lon). Inside a ring the distance
-    is 0, of equal ones the smallest fac_ord wins. Two passes: the least distance to any facility's first
-    vertex bounds the result from above, and only facilities whose bounding box isn't farther are measured.
+    is 0, of equal ones the smallest fac_ord wins. Points without a position have no facility. Only occupied cells of
+    ``CELL_DEGREES`` are compared with all facilities: a cell keeps those whose bounding box may be as near to one of its
+    points as the nearest first vertex is to its farthest point. Points meet the facilities that their cell keeps.
     """
     flat = F.flatten("parts")
     lat_of, lon_of = F.transform(flat, lambda v: v["lat"]), F.transform(flat, lambda v: v["lon"])
     boxed = facilities.where(F.size(flat) > 0).withColumns({"south": F.array_min(lat_of), "north": F.array_max(lat_of), "west": F.array_min(lon_of), "east": F.array_max(lon_of), "v_lat": F.get(flat, F.lit(0))["lat"], "v_lon": F.get(flat, F.lit(0))["lon"]})
-    own = points.select(F.col(key).alias("key"), "latitude", "longitude")
-    scale = geo.LON_KM * F.cos(F.radians("latitude"))
+    cell = {"c_lat": F.floor(F.col("latitude") / CELL_DEGREES), "c_lon": F.floor(F.col("longitude") / CELL_DEGREES)}
+    own = points.where("latitude is not null and longitude is not null").select(F.col(key).alias("key"), "latitude", "longitude").withColumns(cell)
+    cells = own.select("c_lat", "c_lon").distinct()
+    margin = CELL_DEGREES * 1e-6
+    low, high = F.col("c_lat") * CELL_DEGREES - margin, (F.col("c_lat") + 1) * CELL_DEGREES + margin
+    left, right = F.col("c_lon") * CELL_DEGREES - margin, (F.col("c_lon") + 1) * CELL_DEGREES + margin
+    scale_at = lambda lat: F.lit(geo.LON_KM) * F.cos(F.radians(F.least(lat, F.lit(90.0))))
+    most = scale_at(F.when((low <= 0) & (high >= 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high))))
+    cells = cells.select("c_lat", "c_lon", low.alias("low"), high.alias("high"), left.alias("left"), right.alias("right"), most.alias("most"), scale_at(F.greatest(F.abs(low), F.abs(high))).alias("fewest"))
     best = None
     for block in _blocks(boxed):
-        bound = block.select("v_lat", "v_lon")
-        reach = F.min(F.hypot((F.col("v_lon") - F.col("longitude")) * scale, (F.col("v_lat") - F.col("latitude")) * geo.LAT_KM))
-        reached = own.join(F.broadcast(bound)).groupBy("key", "latitude", "longitude").agg(reach.alias("reach"))
-        gap_lat = F.greatest(F.col("south") - F.col("latitude"), F.col("latitude") - F.col("north"), F.lit(0.0))
-        gap_lon = F.greatest(F.col("west") - F.col("longitude"), F.col("longitude") - F.col("east"), F.lit(0.0))
-        near = F.hypot(gap_lon * scale, gap_lat * geo.LAT_KM) <= F.col("reach") + 1e-9
-        ready = block.select("fac_ord", "facility_id", "name", "kind", "south", "north", "west", "east", segments(F.col("parts")).alias("parts"))
-        met = reached.join(F.broadcast(ready), near)
+        far_lat = F.greatest(F.abs(F.col("v_lat") - F.col("low")), F.abs(F.col("v_lat") - F.col("high")))
+        far_lon = F.greatest(F.abs(F.col("v_lon") - F.col("left")), F.abs(F.col("v_lon") - F.col("right")))
+        reach = F.min(F.hypot(far_lon * F.col("most"), far_lat * geo.LAT_KM)).alias("reach")
+        reached = cells.join(F.broadcast(block.select("v_lat", "v_lon"))).groupBy(*cells.columns).agg(reach)
+        gap_lat = F.greatest(F.col("south") - F.col("high"), F.col("low") - F.col("north"), F.lit(0.0))
+        gap_lon = F.greatest(F.col("west") - F.col("right"), F.col("left") - F.col("east"), F.lit(0.0))
+        near = F.hypot(gap_lon * F.col("fewest"), gap_lat * geo.LAT_KM) <= F.col("reach") + 1e-9
+        ready = block.select("fac_ord", "facility_id", "name", "kind", "south", "north", "west", "east", "v_lat", "v_lon", segments(F.col("parts")).alias("parts"))
+        kept = reached.join(F.broadcast(ready), near).groupBy("c_lat", "c_lon").agg(F.collect_list(F.struct(*ready.columns)).alias("some"))
+        # each point once more: its own bound leaves few of its cell's facilities to be measured
+        met = own.join(kept, ["c_lat", "c_lon"]).withColumn("reach", F.array_min(F.transform("some", _first_vertex)))
+        met = met.select("key", "latitude", "longitude", F.explode(F.filter("some", lambda f: _box(f) <= F.col("reach") + 1e-9)).alias("f")).select("key", "latitude", "longitude", "f.*")
         legs = met.select("key", "latitude", "longitude", "fac_ord", "facility_id", "name", "kind", F.posexplode("parts").alias("part", "p")).select("*", F.col("p.ring").alias("ring"), F.explode("p.legs").alias("s"))
         dist = _measured(legs).groupBy("key", "fac_ord", "facility_id", "name", "kind").agg(F.min("d").alias("d"))
         top = dist.groupBy("key").agg(F.min(F.struct("d", "fac_ord", "facility_id", "name", "kind")).alias("top"))
@@ -74,6 +88,19 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str = "event
     return out.select(F.col("key").alias(key), F.col("top.d").alias("facility_distance_km"), *(F.coalesce(f"top.{c}", F.lit("")).alias(f"nearest_facility_{n}") for c, n in (("facility_id", "id"), ("name", "name"), ("kind", "kind"))))
 
 
+def _first_vertex(f: Column) -> Column:
+    """The distance from the point to a facility's first vertex."""
+    scale = geo.LON_KM * F.cos(F.radians("latitude"))
+    return F.hypot((f["v_lon"] - F.col("longitude")) * scale, (f["v_lat"] - F.col("latitude")) * geo.LAT_KM)
+
+
+def _box(f: Column) -> Column:
+    """The distance from the point to a facility's bounding box."""
+    lat, lon = F.col("latitude"), F.col("longitude")
+    gap_lat, gap_lon = F.greatest(f["south"] - lat, lat - f["north"], F.lit(0.0)), F.greatest(f["west"] - lon, lon - f["east"], F.lit(0.0))
+    return F.hypot(gap_lon * geo.LON_KM * F.cos(F.radians("latitude")), gap_lat * geo.LAT_KM)
+
+
 def _measured(legs: DataFrame) -> DataFrame:
     """The distance to each part: 0 inside a ring, else the least one to a segment, in a plane about the point."""
     scale = geo.LON_KM * F.cos(F.radians("latitude"))

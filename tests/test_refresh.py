@@ -13,7 +13,7 @@ from test_contracts import EPISODE, S, episode, peer_rows
 
 from emberflow.config import Area, Evidence, Models, Peers, Settings
 from emberflow.functions import geo, text
-from emberflow.operators import decision, evidence, peers, refresh, scores, serving
+from emberflow.operators import context, decision, evidence, peers, refresh, scores, serving
 from emberflow.sources import readers, sinks
 
 
@@ -227,3 +227,32 @@ def test_baselines_equal_the_joined_history(spark):
             assert [x for x in got[k] if not isinstance(x, float)] == [x for x in w if not isinstance(x, float)], k
             assert [x for x in got[k] if isinstance(x, float)] == pytest.approx([x for x in w if isinstance(x, float)], rel=1e-9, abs=1e-9), k
     assert scores.baselines(df.limit(0), Models()).isEmpty()
+
+
+# ---- facilities
+
+
+def test_nearest_facility_matches_brute_force(spark):
+    rng = random.Random(3)
+    for base in (0.0, -33.0, 64.0):
+        pts = [(i, base + rng.uniform(-0.4, 0.4), rng.uniform(-0.5, 0.5)) for i in range(150)] + [(900, None, 1.0), (901, base, -0.5), (902, base + 5, 3.0)]
+        fac = [(k, f"f{k}", "n", "k", [[(base + rng.uniform(-0.5, 0.5), rng.uniform(-0.6, 0.6))]]) for k in range(40)]
+        fac.append((99, "line", "n", "k", [[(base - 0.3, -0.6), (base + 0.3, 0.6)]]))
+        pdf = spark.createDataFrame(pts, "event_id bigint, latitude double, longitude double")
+        fdf = spark.createDataFrame(fac, "fac_ord bigint, facility_id string, name string, kind string, parts array<array<struct<lat: double, lon: double>>>")
+        got = {r.event_id: r for r in context.nearest_facility(pdf, fdf).collect()}
+        assert got[900].facility_distance_km is None and got[900].nearest_facility_id == ""
+        for i, lat, lon in pts:
+            if lat is None:
+                continue
+            scale = geo.LON_KM * math.cos(math.radians(lat))
+            away = []
+            for k, name, _, _, ((first, *rest),) in fac:
+                x, y = (first[1] - lon) * scale, (first[0] - lat) * geo.LAT_KM
+                d = math.hypot(x, y)
+                if rest:
+                    dx, dy = (rest[0][1] - first[1]) * scale, (rest[0][0] - first[0]) * geo.LAT_KM
+                    t = min(1, max(0, -(x * dx + y * dy) / (dx * dx + dy * dy)))
+                    d = math.hypot(x + t * dx, y + t * dy)
+                away.append((d, k, name))
+            assert got[i].facility_distance_km == pytest.approx(min(away)[0], abs=1e-9) and got[i].nearest_facility_id == min(away)[2]
