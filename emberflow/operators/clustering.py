@@ -32,6 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
+    """Rows with their number from 0 in the given order, without moving all to one task: ranges are sorted and counted, and each
+    range's numbers begin where the one before ends. Rows that tie are numbered in any order."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id() % F.lit(1 << 33)})
+    placed = checkpointed(placed)
+    starts = placed.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_s", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))  # a row a partition
+    return placed.join(F.broadcast(starts.select("_p", "_s")), "_p").withColumn(name, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
+
+
 def scaled(points: DataFrame, km: float, hours: float | None = None) -> DataFrame:
     """Points with x, y (and t) in units of the search radius, in a plane about the mean of all points."""
     stats = [F.avg("latitude").alias("lat0"), F.avg("longitude").alias("lon0")]

@@ -144,8 +144,7 @@ def discover_sites(events: DataFrame, settings: Settings) -> tuple[DataFrame, Da
     members = clustering.site_members(events, m.site_max_diameter_km, m.site_min_events).where("part >= 0")
     timed = members.withColumnRenamed("key", "event_id").join(events.select("event_id", "start_time"), "event_id")
     groups = timed.groupBy("component", "part").agg(F.min(F.struct("start_time", "event_id")).alias("first"))
-    # a row for each site: few, so numbering them in one task is bounded by the sites, not by the events
-    numbered = groups.withColumn("n", F.row_number().over(Window.orderBy("first"))).drop("first")
+    numbered = clustering.numbered(groups, "first.start_time", "first.event_id").withColumn("n", F.col("n") + 1).drop("first")
     site_id = F.concat(F.lit("S"), F.when(F.col("n") > 9999, F.col("n").cast("string")).otherwise(F.lpad(F.col("n").cast("string"), 4, "0")))
     named = timed.join(numbered, ["component", "part"]).select("event_id", site_id.alias("site_id"))
     out = clustering.checkpointed(events.drop("site_id").join(named, "event_id", "left").withColumn("site_id", F.coalesce("site_id", F.lit(""))))

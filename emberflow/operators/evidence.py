@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberflow.config import Evidence
 from emberflow.functions import text, time
+from emberflow.operators.clustering import numbered
 
 # Scene classes that are clear and that are cloud; the collection whose radiometry isn't verified.
 CLEAR, CLOUD, LEGACY = (4, 5, 6), (3, 8, 9, 10), "sentinel-2-l2a"
@@ -52,7 +53,9 @@ def select_candidates(events: DataFrame, e: Evidence, threshold: float, as_of: s
     rows = rows.withColumns({"group": candidate_group(threshold), "key": F.struct(F.coalesce("anomaly_score", F.lit(-1.0)).alias("s"), F.coalesce("frp_peak_mw", F.lit(0.0)).alias("f"), F.col("start_time").alias("t"))})
 
     def top(df: DataFrame, n: int, *by: Column) -> DataFrame:
-        # limits keep every list at the cap, so the windows below never see more than a few times it
+        # limits keep every list at the cap, so the windows below never see more than a few times it; without a cap ranges do
+        if e.max_events is None:
+            return numbered(df, *by, name="_t").where(F.col("_t") < n).drop("_t")
         return df.orderBy(*by).limit(n)
 
     green = rows.where("group = 'vegetation_sample'")
@@ -70,10 +73,12 @@ def select_candidates(events: DataFrame, e: Evidence, threshold: float, as_of: s
     if e.candidate_policy == "all":
         tiers.append(("other_context", rows.where("group = 'other_context'"), order))
     for k, (name, df, by) in enumerate(tiers):
-        best = top(df, cap, *by)
-        taken = taken.unionByName(best.select("event_id", F.lit(name).alias("selection"), F.lit(2 + k).alias("tier"), F.row_number().over(Window.orderBy(*by)).alias("n")))
+        best = numbered(df, *by) if e.max_events is None else top(df, cap, *by).withColumn("n", F.row_number().over(Window.orderBy(*by)))
+        taken = taken.unionByName(best.select("event_id", F.lit(name).alias("selection"), F.lit(2 + k).alias("tier"), "n"))
     first = taken.groupBy("event_id").agg(F.min(F.struct("tier", "n", "selection")).alias("x"))
-    return first.orderBy("x.tier", "x.n", "event_id").limit(cap).select("event_id", "x.selection")
+    if e.max_events is not None:
+        first = first.orderBy("x.tier", "x.n", "event_id").limit(cap)
+    return first.select("event_id", "x.selection")
 
 
 def _degrees(at: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberflow.functions import geo
+from emberflow.operators.clustering import numbered
 
 SEARCHED = ("event_id", "event_uid", "site_id", "nearest_facility_name", "nearest_facility_id", "context_label", "source_context", "score_status", "decision")
 # Days of the presets, and the offset of the local zone for whole local days.
@@ -143,18 +144,9 @@ def lenient_time(c: Column) -> Column:
 
 
 def shards(events: DataFrame, size: int = 256) -> DataFrame:
-    """Events with the shard and the place in it, in order of their identifiers.
-
-    Rows are numbered without moving all to one task: ranges are sorted and counted, and each range's numbers begin where
-    the one before ends.
-    """
-    placed = events.repartitionByRange("event_id").sortWithinPartitions("event_id").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33))
-    from emberflow.operators.clustering import checkpointed
-
-    placed = checkpointed(placed)
-    starts = placed.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_s", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))  # a row a partition
-    n = F.col("_s") + F.col("_i")
-    return placed.join(F.broadcast(starts.select("_p", "_s")), "_p").withColumns({"shard": F.floor(n / size), "shard_index": n % size}).drop("_p", "_i", "_s")
+    """Events with the shard and the place in it, in order of their identifiers."""
+    n = F.col("_number")
+    return numbered(events, "event_id", name="_number").withColumns({"shard": F.floor(n / size), "shard_index": n % size}).drop("_number")
 
 
 SUMMARY = ("event_id", "site_id", "start_time", "end_time", "latitude", "longitude", "context_label", "source_context", "decision", "anomaly_score", "score_status", "review_priority", "detection_count", "score_method")

@@ -256,3 +256,15 @@ def test_nearest_facility_matches_brute_force(spark):
                     d = math.hypot(x + t * dx, y + t * dy)
                 away.append((d, k, name))
             assert got[i].facility_distance_km == pytest.approx(min(away)[0], abs=1e-9) and got[i].nearest_facility_id == min(away)[2]
+
+
+def test_candidates_without_a_cap_equal_a_cap_of_all(spark):
+    rng = random.Random(5)
+    day = datetime(2023, 1, 1)
+    rows = [(i, rng.choice(["S1", "S2", ""]), day + timedelta(days=rng.randrange(900)), 82.0 + i % 3, 24.0, rng.choice([None, rng.random()]), rng.choice([None, 5.0]), rng.choice(["industrial_associated", "mixed", "vegetation_associated", "unknown"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id bigint, site_id string, start_time timestamp_ntz, longitude double, latitude double, anomaly_score double, frp_peak_mw double, context_label string")
+    for policy in ("priority", "all"):
+        every, capped = (evidence.select_candidates(df, Evidence(max_events=n, candidate_policy=policy), 0.5, "2025-06-01 00:00:00") for n in (None, 200))
+        assert rows_of(every) == rows_of(capped) and (every.count() == 200) == (policy == "all")
+    chosen = evidence.select_candidates(df, Evidence(max_events=None), 0.5, "2025-06-01 00:00:00", ["3", "4", "none"])
+    assert {tuple(r) for r in chosen.collect()} == {(3, "explicit_selection"), (4, "explicit_selection")}
