@@ -226,7 +226,8 @@ def reuse(events: DataFrame, new: DataFrame, old: DataFrame, columns: list[str])
 
 def cache_key(*parts: Column) -> Column:
     """A digest of what identifies a piece of evidence; operational settings aren't among it."""
-    return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+    named = F.struct(*(p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)))
+    return F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256)
 
 
 def catalogue_month(start: Column, end: Column) -> Column:

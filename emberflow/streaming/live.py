@@ -11,8 +11,9 @@ from emberflow.operators import ingest
 
 
 def detection_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 50) -> DataFrame:
-    """Raw rows of new CSV files as text."""
-    df = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(path)
+    """Raw rows of new CSV files as text. A file whose header differs from the schema stops the stream, rather than
+    being read by position; sources with other headers get a stream of their own."""
+    df = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("maxFilesPerTrigger", files_per_trigger).csv(path)
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 

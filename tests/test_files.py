@@ -81,3 +81,15 @@ def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
     (tmp_path / "d.csv").write_text("latitude,longitude\n1,2\n")
     with pytest.raises(ValueError, match="d.csv.*missing"):
         readers.detection_files(spark, f"file://{tmp_path}")
+
+
+def test_stream_refuses_another_header(spark, tmp_path):
+    import pytest
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "x.csv").write_text("longitude,latitude," + HEADER.split(",", 2)[2] + "82,24,2024-01-01,100,N,2,5,340,300\n")
+    schema = ", ".join(f"{c} string" for c in HEADER.strip().split(","))
+    stream = live.detection_stream(spark, f"file://{source}", schema)
+    with pytest.raises(Exception, match="(?i)header"):
+        live.run(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/cp", Settings(), AS_OF).awaitTermination()

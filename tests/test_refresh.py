@@ -9,11 +9,11 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from test_contracts import EPISODE, S, episode, peer_rows
+from test_contracts import DETECTION, EPISODE, S, detection, episode, peer_rows
 
 from emberflow.config import Area, Evidence, Models, Peers, Settings
 from emberflow.functions import geo, text
-from emberflow.operators import context, decision, evidence, peers, refresh, scores, serving
+from emberflow.operators import context, decision, evidence, peers, refresh, reports, scores, serving, tuning
 from emberflow.sources import readers, sinks
 
 
@@ -268,3 +268,32 @@ def test_candidates_without_a_cap_equal_a_cap_of_all(spark):
         assert rows_of(every) == rows_of(capped) and (every.count() == 200) == (policy == "all")
     chosen = evidence.select_candidates(df, Evidence(max_events=None), 0.5, "2025-06-01 00:00:00", ["3", "4", "none"])
     assert {tuple(r) for r in chosen.collect()} == {(3, "explicit_selection"), (4, "explicit_selection")}
+
+
+# ---- small pieces
+
+
+def test_parameter_search(spark, monkeypatch):
+    monkeypatch.setattr(tuning, "EVENT_KM", (2.0,))
+    monkeypatch.setattr(tuning, "EVENT_HOURS", (24.0, 36.0))
+    monkeypatch.setattr(tuning, "SITE_KM", (1.5,))
+    s = Settings(models=Models(tuning_repeats=2))
+    rows = [detection(f"d{i}{k}", "VIIRS_SNPP", 5.0, hours=100.0 * i + k, lat=23.5 + 0.1 * (i % 4)) for i in range(12) for k in range(3)]
+    trials = tuning.tune_events(spark.createDataFrame(rows, DETECTION), s)
+    got = {r.event_temporal_hours: r for r in trials.collect()}
+    assert set(got) == {24.0, 36.0} and all(r.events == 12 and r.spatial_compliance == r.temporal_compliance == 1 and r.subsample_ari > 0.9 for r in got.values())
+    assert tuning.best(trials, tuning.event_objective()).count() == 1
+    eps = spark.createDataFrame([episode(f"e{i}", i, lat=23.5 + 0.1 * (i % 3)) for i in range(18)], EPISODE).withColumn("detection_count", F.lit(2).cast("bigint"))
+    one = tuning.tune_sites(eps, s).withColumn("objective", tuning.site_objective()).first()
+    assert (one.sites, one.event_coverage, one.subsample_ari) == (3, 1.0, 1.0)
+    assert one.objective == pytest.approx(0.75 + 0.25 - 0.03 * 0.75)
+
+
+def test_notes_keys_and_months(spark):
+    years = spark.createDataFrame([(2021,), (2019,), (2021,)], "year int")
+    assert reports.coverage_note(years).first().note.startswith("Missing years: 2019, 2021. ")
+    assert reports.coverage_note(years.limit(0)).first().note.startswith("Coverage has gaps")
+    keys = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", None), (None, "a"), ("a", "")], "x string, y string").select(evidence.cache_key(F.col("x"), F.col("y")).alias("k"))
+    assert keys.distinct().count() == 5
+    m = spark.createDataFrame([(datetime(2024, 1, 31, 5), datetime(2024, 12, 2))], "a timestamp_ntz, b timestamp_ntz").select(evidence.catalogue_month(F.col("a"), F.col("b")).alias("m")).first().m
+    assert (str(m.month_from), str(m.month_to)) == ("2024-01-01", "2025-01-01")
