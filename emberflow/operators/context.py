@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberflow.config import Context
 from emberflow.functions import geo
+from emberflow.operators.clustering import checkpointed
 
 #: Facilities are broadcast in blocks of at most so many vertices; more blocks are joined one after another.
 BLOCK_VERTICES = 500_000
@@ -52,13 +53,20 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str = "event
     Facilities have fac_ord, facility_id, name, kind and parts, lists of (lat, lon). Inside a ring the distance
     is 0, of equal ones the smallest fac_ord wins. Points without a position have no facility. Only occupied cells of
     ``CELL_DEGREES`` are compared with all facilities: a cell keeps those whose bounding box may be as near to one of its
-    points as the nearest first vertex is to its farthest point. Points meet the facilities that their cell keeps.
+    points as the nearest first vertex is to its farthest point. Places meet the facilities that their cell keeps.
+
+    Facilities of equal parts are at equal distances, so only the first of them is compared; points at one place are measured
+    once, and a place's legs stay in its row.
     """
     flat = F.flatten("parts")
     lat_of, lon_of = F.transform(flat, lambda v: v["lat"]), F.transform(flat, lambda v: v["lon"])
-    boxed = facilities.where(F.size(flat) > 0).withColumns({"south": F.array_min(lat_of), "north": F.array_max(lat_of), "west": F.array_min(lon_of), "east": F.array_max(lon_of), "v_lat": F.get(flat, F.lit(0))["lat"], "v_lon": F.get(flat, F.lit(0))["lon"]})
+    first = F.min(F.struct("fac_ord", "facility_id", "name", "kind")).alias("f")
+    boxed = facilities.where(F.size(flat) > 0).groupBy("parts").agg(first).select("f.*", "parts")
+    boxed = boxed.withColumns({"south": F.array_min(lat_of), "north": F.array_max(lat_of), "west": F.array_min(lon_of), "east": F.array_max(lon_of), "v_lat": F.get(flat, F.lit(0))["lat"], "v_lon": F.get(flat, F.lit(0))["lon"]})
+    boxed = checkpointed(boxed)
     cell = {"c_lat": F.floor(F.col("latitude") / CELL_DEGREES), "c_lon": F.floor(F.col("longitude") / CELL_DEGREES)}
-    own = points.where("latitude is not null and longitude is not null").select(F.col(key).alias("key"), "latitude", "longitude").withColumns(cell)
+    own = points.where("latitude is not null and longitude is not null").select("latitude", "longitude").distinct().withColumns(cell)
+    own = checkpointed(own)
     cells = own.select("c_lat", "c_lon").distinct()
     margin = CELL_DEGREES * 1e-6
     low, high = F.col("c_lat") * CELL_DEGREES - margin, (F.col("c_lat") + 1) * CELL_DEGREES + margin
@@ -77,14 +85,12 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, key: str = "event
         near = F.hypot(gap_lon * F.col("fewest"), gap_lat * geo.LAT_KM) <= F.col("reach") + 1e-9
         ready = block.select("fac_ord", "facility_id", "name", "kind", "south", "north", "west", "east", "v_lat", "v_lon", segments(F.col("parts")).alias("parts"))
         kept = reached.join(F.broadcast(ready), near).groupBy("c_lat", "c_lon").agg(F.collect_list(F.struct(*ready.columns)).alias("some"))
-        # each point once more: its own bound leaves few of its cell's facilities to be measured
+        # each place once more: its own bound leaves few of its cell's facilities to be measured
         met = own.join(kept, ["c_lat", "c_lon"]).withColumn("reach", F.array_min(F.transform("some", _first_vertex)))
-        met = met.select("key", "latitude", "longitude", F.explode(F.filter("some", lambda f: _box(f) <= F.col("reach") + 1e-9)).alias("f")).select("key", "latitude", "longitude", "f.*")
-        legs = met.select("key", "latitude", "longitude", "fac_ord", "facility_id", "name", "kind", F.posexplode("parts").alias("part", "p")).select("*", F.col("p.ring").alias("ring"), F.explode("p.legs").alias("s"))
-        dist = _measured(legs).groupBy("key", "fac_ord", "facility_id", "name", "kind").agg(F.min("d").alias("d"))
-        top = dist.groupBy("key").agg(F.min(F.struct("d", "fac_ord", "facility_id", "name", "kind")).alias("top"))
-        best = top if best is None else best.unionByName(top).groupBy("key").agg(F.min("top").alias("top"))
-    out = points.select(F.col(key).alias("key")).join(best, "key", "left")
+        measured = F.transform(F.filter("some", lambda f: _box(f) <= F.col("reach") + 1e-9), lambda f: F.struct(_measured(f["parts"]).alias("d"), f["fac_ord"].alias("fac_ord"), f["facility_id"].alias("facility_id"), f["name"].alias("name"), f["kind"].alias("kind")))
+        top = met.select("latitude", "longitude", F.array_min(measured).alias("top"))
+        best = top if best is None else best.unionByName(top).groupBy("latitude", "longitude").agg(F.min("top").alias("top"))
+    out = points.select(F.col(key).alias("key"), "latitude", "longitude").join(best, ["latitude", "longitude"], "left")
     return out.select(F.col("key").alias(key), F.col("top.d").alias("facility_distance_km"), *(F.coalesce(f"top.{c}", F.lit("")).alias(f"nearest_facility_{n}") for c, n in (("facility_id", "id"), ("name", "name"), ("kind", "kind"))))
 
 
@@ -101,17 +107,33 @@ def _box(f: Column) -> Column:
     return F.hypot(gap_lon * geo.LON_KM * F.cos(F.radians("latitude")), gap_lat * geo.LAT_KM)
 
 
-def _measured(legs: DataFrame) -> DataFrame:
-    """The distance to each part: 0 inside a ring, else the least one to a segment, in a plane about the point."""
+def _measured(parts: Column) -> Column:
+    """The least distance to the parts: 0 inside a ring, else that to a segment, in a plane about the point."""
+
+    def of(p: Column) -> Column:
+        crossings = F.aggregate(p["legs"], F.lit(0), lambda n, s: n + F.coalesce(_crosses(s), F.lit(False)).cast("int"))
+        return F.when(p["ring"] & (crossings % 2 == 1), 0.0).otherwise(F.array_min(F.transform(p["legs"], _leg)))
+
+    return F.array_min(F.transform(parts, of))
+
+
+def _ends(s: Column) -> tuple[Column, Column, Column, Column]:
     scale = geo.LON_KM * F.cos(F.radians("latitude"))
-    flat = legs.withColumns({"x1": (F.col("s.o1") - F.col("longitude")) * scale, "y1": (F.col("s.a1") - F.col("latitude")) * geo.LAT_KM, "x2": (F.col("s.o2") - F.col("longitude")) * scale, "y2": (F.col("s.a2") - F.col("latitude")) * geo.LAT_KM})
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return (s["o1"] - F.col("longitude")) * scale, (s["a1"] - F.col("latitude")) * geo.LAT_KM, (s["o2"] - F.col("longitude")) * scale, (s["a2"] - F.col("latitude")) * geo.LAT_KM
+
+
+def _leg(s: Column) -> Column:
+    """The distance to a segment; a leg that closes a ring has none."""
+    x1, y1, x2, y2 = _ends(s)
+    dx, dy = x2 - x1, y2 - y1
     length = dx * dx + dy * dy
-    t = F.when(length > 0, F.least(F.greatest(-(F.col("x1") * dx + F.col("y1") * dy) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    d = F.when(~F.col("s.closing"), F.hypot(F.col("x1") + t * dx, F.col("y1") + t * dy))
-    crosses = ((F.col("y1") > 0) != (F.col("y2") > 0)) & (F.col("x1") + dx * F.try_divide(-F.col("y1"), dy) > 0)
-    parts = flat.select("*", d.alias("leg"), F.coalesce(crosses, F.lit(False)).cast("int").alias("crosses")).groupBy("key", "fac_ord", "facility_id", "name", "kind", "part", "ring").agg(F.min("leg").alias("leg"), F.sum("crosses").alias("crossings"))
-    return parts.withColumn("d", F.when(F.col("ring") & (F.col("crossings") % 2 == 1), 0.0).otherwise(F.col("leg")))
+    t = F.when(length > 0, F.least(F.greatest(-(x1 * dx + y1 * dy) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return F.when(~s["closing"], F.hypot(x1 + t * dx, y1 + t * dy))
+
+
+def _crosses(s: Column) -> Column:
+    x1, y1, x2, y2 = _ends(s)
+    return ((y1 > 0) != (y2 > 0)) & (x1 + (x2 - x1) * F.try_divide(-y1, y2 - y1) > 0)
 
 
 def landcover(points: DataFrame, pixels: DataFrame, key: str, radius: float, expected: float | None = None) -> DataFrame:
