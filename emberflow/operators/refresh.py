@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberflow.config import Models, Settings
 from emberflow.operators import decision, governance, peers
+from emberflow.operators.clustering import checkpointed
 
 # The columns that each refresh writes, and those that peer scores are computed from.
 INTERPRETATION = ("decision", "decision_basis", "source_context", "score_status", "score_reason")
@@ -58,7 +59,7 @@ def peer_scores(events: DataFrame, mapped: DataFrame, settings: Settings) -> Dat
     agreed(events, mapped, (*PEER_INPUTS, "anomaly_score"))
     site = F.col("site_anomaly_score") if "site_anomaly_score" in events.columns else F.col("anomaly_score")
     bare = events.drop("score_method", *(c for c in events.columns if c.startswith("peer_"))).withColumn("anomaly_score", site)
-    scored = peers.score_peers(bare, settings.peers, settings.area)
+    scored = peers.score_peers(checkpointed(bare), settings.peers, settings.area)
     before = [c for c in ("decision", "source_context", "incident_verification") if c in events.columns]
     told = decision.decide(scored.drop(*PEER_TEXTS), settings.models)
     own = events.select(F.col("event_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in before))

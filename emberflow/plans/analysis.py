@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from emberflow.config import Settings
 from emberflow.operators import context, decision, forest, peers, refresh, scores
+from emberflow.operators.clustering import checkpointed
 from emberflow.operators.events import cluster_events, discover_sites
 
 
@@ -16,7 +17,7 @@ def score(events: DataFrame, settings: Settings, isolation: bool = True) -> Data
     out = scores.calibrated(out, m)
     if isolation:
         out = forest.with_isolation(out, m)
-    return peers.score_peers(scores.fused(out), settings.peers, settings.area)
+    return peers.score_peers(checkpointed(scores.fused(out)), settings.peers, settings.area)
 
 
 def run(detections: DataFrame, facilities: DataFrame, settings: Settings, as_of: str, landcover: DataFrame | None = None, imagery: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
