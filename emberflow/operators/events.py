@@ -49,22 +49,34 @@ def representative_order() -> list[Column]:
     return [(F.col("phase") == "unknown").cast("int"), rank, F.when(F.col("phase") == "N", 0).when(F.col("phase") == "D", 1).otherwise(2), F.col("sensor")]
 
 
-def representative(snaps: DataFrame) -> DataFrame:
-    """Each event's representative sensor and phase, with peak and median power and radiance of that pair alone."""
-    w = Window.partitionBy("cluster").orderBy(*representative_order())
-    chosen = snaps.withColumns({"model_sensor": F.first("sensor").over(w), "model_daynight": F.first("phase").over(w)})
-    own = chosen.where((F.col("sensor") == F.col("model_sensor")) & (F.col("phase") == F.col("model_daynight")))
-    return own.groupBy("cluster", "model_sensor", "model_daynight").agg(
-        F.max("frp_snapshot").alias("frp_peak_mw"), F.median("frp_snapshot").alias("frp_median_mw"),
+def by_kind(snaps: DataFrame) -> DataFrame:
+    """Each event's snapshots of one sensor and phase: their number, with the pair's own peak and median power and radiance."""
+    return snaps.groupBy("cluster", "sensor", "phase").agg(
+        F.count("*").alias("observation_count"), F.max("frp_snapshot").alias("frp_peak_mw"), F.median("frp_snapshot").alias("frp_median_mw"),
         F.max("detection_snapshot").alias("detection_peak"), F.max("brightness").alias("brightness_max"),
         F.max("brightness_temperature_difference").alias("brightness_temperature_difference_max"),
     )
 
 
+def first_kind() -> Column:
+    """Aggregate of ``by_kind``: that of the representative sensor and phase."""
+    own = ("frp_peak_mw", "frp_median_mw", "detection_peak", "brightness_max", "brightness_temperature_difference_max")
+    return F.min_by(F.struct(F.col("sensor").alias("model_sensor"), F.col("phase").alias("model_daynight"), *own), F.struct(*representative_order()))
+
+
+def representative(snaps: DataFrame) -> DataFrame:
+    """Each event's representative sensor and phase, with peak and median power and radiance of that pair alone."""
+    return by_kind(snaps).groupBy("cluster").agg(first_kind().alias("_first")).select("cluster", "_first.*")
+
+
+def family_peak(family: str) -> Column:
+    """Aggregate of the power of snapshots or kinds: the largest one of a family of sensors."""
+    viirs = F.coalesce(F.col("sensor").startswith("VIIRS"), F.lit(False))
+    return F.max(F.when(viirs if family == "viirs" else ~viirs, F.col("frp_peak_mw"))).alias(f"{family}_frp_peak_mw")
+
+
 def family_peaks(snaps: DataFrame) -> DataFrame:
-    family = F.when(F.col("sensor").startswith("VIIRS"), "viirs").otherwise("modis")
-    out = snaps.withColumn("family", family).groupBy("cluster").pivot("family", ["viirs", "modis"]).agg(F.max("frp_snapshot"))
-    return out.withColumnsRenamed({"viirs": "viirs_frp_peak_mw", "modis": "modis_frp_peak_mw"})
+    return snaps.withColumnRenamed("frp_snapshot", "frp_peak_mw").groupBy("cluster").agg(family_peak("viirs"), family_peak("modis"))
 
 
 def rollup(rows: DataFrame) -> DataFrame:
@@ -95,23 +107,34 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.select("cluster", far.alias("d")).groupBy("cluster").agg(F.max("d").alias("spread_km"))
 
 
+def far_from(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """``spread`` of ``rows`` about the ``centres`` (cluster, latitude, longitude); rows are only compared, not sent, while these are few."""
+    centres = clustering.broadcast_if_few(centres.select("cluster", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon")))
+    far = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
+    return rows.join(centres, "cluster").groupBy("cluster").agg(F.max(far).alias("spread_km"))
+
+
 def summarise(rows: DataFrame) -> DataFrame:
-    """Events of detections with a ``cluster`` and a ``phase``."""
-    snaps = snapshots(rows)
-    all_of = snapshot_summary(snaps).select("cluster", "observation_count", F.col("frp_peak_mw").alias("frp_peak_all_sensors_mw"))
-    out = rollup(rows).join(all_of, "cluster").join(representative(snaps), "cluster").join(family_peaks(snaps), "cluster").join(spread(rows), "cluster")
+    """Events of detections with a ``cluster`` and a ``phase``. ``rows`` are computed three times."""
+    kinds = by_kind(snapshots(rows)).groupBy("cluster").agg(
+        F.sum("observation_count").alias("observation_count"), F.max("frp_peak_mw").alias("frp_peak_all_sensors_mw"),
+        family_peak("viirs"), family_peak("modis"), first_kind().alias("_first"),
+    )
+    rolled = clustering.checkpointed(rollup(rows))
+    out = rolled.join(kinds, "cluster").select("*", "_first.*").drop("_first").join(far_from(rows, rolled), "cluster")
     return out.withColumn("duration_hours", time.hours_between(F.col("start_time"), F.col("end_time")))
 
 
 def cluster_events(detections: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(detections with event_id, events): density clusters in space and time, cut into episodes of a bounded span."""
+    """(detections with event_id, events): density clusters in space and time, cut into episodes of a bounded span.
+
+    A detection's event follows from its cell and its time, so detections are read anew for each step and neither kept nor joined by key.
+    """
     m = settings.models
-    points = clustering.checkpointed(clustering.scaled(detections.select(F.col("detection_id").alias("key"), "latitude", "longitude", "acquired_at"), m.event_spatial_km, m.event_temporal_hours))
-    found = clustering.density_clusters(points, "key", min_samples=m.event_min_samples)
-    timed = found.join(points.select("key", F.col("acquired_at").alias("t")), "key")
-    cut = clustering.checkpointed(clustering.episodes(timed, m.event_temporal_hours))
-    own = cut.select(F.col("key").alias("detection_id"), F.struct("component", "episode").alias("cluster"))
-    rows = detections.join(own, "detection_id").withColumn("phase", phase(F.col("daynight")))
+    points = clustering.scaled(detections, m.event_spatial_km, m.event_temporal_hours)
+    found = clustering.with_clusters(points, "detection_id", min_samples=m.event_min_samples).drop("x", "y", "t")
+    timed = clustering.with_episodes(found, "acquired_at", m.event_temporal_hours)
+    rows = timed.withColumns({"cluster": F.struct("component", "start"), "phase": phase(F.col("daynight"))}).drop("component", "start")
     events = clustering.checkpointed(summarise(rows))
     ids = events.select("cluster", "event_id")
     return rows.join(ids, "cluster").drop("cluster", "phase"), events.drop("cluster")
